@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexispark.llm import mixing, quality, secrets, sharding
+from lexispark.llm import mixing, packing, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op4_pareto_mixing": mixing.op4_pareto_mixing,
         "op5_quality_gam": quality.op5_quality_gam,
+        "op6_residual_packing": packing.op6_residual_packing,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     }
