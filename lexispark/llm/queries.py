@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexispark.llm import mixing, packing, quality, secrets, sharding
+from lexispark.llm import minhash, mixing, packing, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_pareto_mixing": mixing.op4_pareto_mixing,
         "op5_quality_gam": quality.op5_quality_gam,
         "op6_residual_packing": packing.op6_residual_packing,
