@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexispark.llm import minhash, mixing, packing, quality, secrets, sharding
+from lexispark.llm import epsilon_grid, minhash, mixing, packing, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_epsilon_grid_near_dedup": epsilon_grid.op1_epsilon_grid_near_dedup,
         "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_pareto_mixing": mixing.op4_pareto_mixing,
         "op5_quality_gam": quality.op5_quality_gam,
@@ -17,4 +18,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pareto_mixing": mixing.OP4_SQL}
+    return {
+        "op1_epsilon_grid_near_dedup": epsilon_grid.OP1_SQL,
+        "op4_pareto_mixing": mixing.OP4_SQL,
+    }
