@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexispark.llm import epsilon_grid, minhash, mixing, packing, quality, secrets, sharding
+from lexispark.llm import epsilon_grid, minhash, mixing, packing, quality, secrets, sharding, voronoi
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_residual_packing": packing.op6_residual_packing,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
+        "op9_voronoi_top_k": voronoi.op9_voronoi_top_k,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_epsilon_grid_near_dedup": epsilon_grid.OP1_SQL,
         "op4_pareto_mixing": mixing.OP4_SQL,
+        "op9_voronoi_top_k": voronoi.OP9_SQL,
     }
