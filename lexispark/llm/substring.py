@@ -1,0 +1,79 @@
+"""Substring dedup by relative Lempel-Ziv parsing (operator 2)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispark.llm.common import WORD, table, text_buffers, word_bounds, word_hashes
+from lexispark.llm.repeats import SPANS, Block, Rule, repeated_elements, spans_of
+
+WINDOW = 20
+GRAM = 5
+
+
+class Words:
+    """The words of a block's texts as one stream of hashes."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        self.body, self.offsets = text_buffers(texts)
+        self.starts, self.ends, self.at = word_bounds(self.body, self.offsets)
+        self.hashes = word_hashes(self.body, self.starts, self.ends)
+
+    def values(self, lo: int, hi: int) -> np.ndarray:
+        return self.hashes[lo:hi]
+
+
+def _kept(block: Block, mask: np.ndarray) -> pa.Table:
+    words, texts = block.stream, block.rows["text"].to_pylist()
+    removed = np.add.reduceat(np.append(mask, False).astype(np.int64), words.at[:-1]) if len(texts) else np.zeros(0, np.int64)
+    size = np.diff(words.at)
+    removed = np.where(size > 0, removed, 0)
+    kept = []
+    for i, text in enumerate(texts):
+        parts = text.encode().split()  # bytes split on the ASCII white space that separates words here
+        if removed[i]:
+            keep = ~mask[words.at[i] : words.at[i + 1]]
+            parts = [parts[j] for j in np.flatnonzero(keep)]
+        kept.append(b" ".join(parts).decode())
+    return pa.table({"id": block.rows["id"], "n_words": pa.array(size), "n_removed": pa.array(removed), "spans": spans_of(mask, words.at), "kept": pa.array(kept, pa.string())})
+
+
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Every text without the words of its long factors, those that an earlier text (or place) already holds.
+
+    Each document is factored against the index of every block: a factor grows as long as its words follow a reference
+    in the same order. Runs whose whole content stands earlier extend a factor without further work; where a run only shares
+    its k-gram with the reference, at the ends of factors, windows are checked one by one. Factors of at least ``window``
+    words are duplicate spans; every window of ``window`` words with an earlier copy lies in one.
+
+    Returns key, n_words, n_removed, spans (of word numbers, end exclusive, the joined factors) and kept (the other
+    words, joined by one space), one row per row. Words are runs of anything but ASCII white space. Earlier means
+    a smaller key (integers; null last), then the place in the text; of rows that repeat a key the
+    one with the smaller text counts as earlier. Null texts have no words; an empty table gives no rows.
+    """
+    schema = f"id bigint, n_words bigint, n_removed bigint, spans {SPANS}, kept string"
+    out = repeated_elements(docs, key, text, Rule(window, min(GRAM, window), True), Words, _kept, schema)
+    return out.withColumnRenamed("id", key)
+
+
+def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = rf"""
+with words as (select doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) as w from documents),
+wins as (select doc_id, unnest(range(1, len(w) - {WINDOW} + 2)) as s, w from words where len(w) >= {WINDOW}),
+seqs as (select doc_id, s, array_to_string(w[s:s + {WINDOW - 1}], ' ') as q from wins),
+dups as (select doc_id, s from (select doc_id, s, row_number() over (partition by q order by doc_id, s) as r from seqs) where r > 1),
+gone as (select distinct doc_id, s + unnest(range(0, {WINDOW})) as i from dups),
+lists as (select doc_id, list(i) as g from gone group by doc_id),
+kept as (
+  select words.doc_id, len(w) as n, coalesce(len(g), 0) as r,
+         case when g is null then w else list_filter(w, lambda x, i: not list_contains(g, i)) end as k
+  from words left join lists using (doc_id))
+select doc_id, n::bigint as n_words, r::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+"""
