@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions import bm25
-from lexispark.plans.query import Bool, Exists, MatchAll, Phrase, Query, Range, Term, terms_of, walk
+from lexispark.plans.query import Bool, Exists, MatchAll, Phrase, Query, Range, Term, scored_terms_of, terms_of, walk
 from lexispark.plans.view import KEYS, View
 
 
@@ -45,17 +45,6 @@ def _at_steps(positions: list[Column]) -> Column:
     return F.coalesce(F.exists(positions[0], lambda p: _all([F.array_contains(r, p + n) for n, r in enumerate(positions) if n])), F.lit(False))
 
 
-def scored_terms(query: Query) -> list[tuple[str, str]]:
-    """Terms whose score can reach a hit: those under must and should only."""
-    if isinstance(query, Term):
-        return [(query.field, query.term)]
-    if isinstance(query, Phrase):
-        return [(query.field, t) for t in dict.fromkeys(query.terms)]
-    if isinstance(query, Bool):
-        return list(dict.fromkeys(t for q in query.must + query.should for t in scored_terms(q)))
-    return []
-
-
 class Compiled:
     """Names and expressions for one query on one view."""
 
@@ -63,7 +52,7 @@ class Compiled:
         self.query, self.view = query, view
         has_terms = lambda f: f in view.mapping.fields and view.mapping.fields[f].has_terms
         self.terms = [t for t in terms_of(query, excluded=True) if has_terms(t[0])]
-        self.scored = [t for t in scored_terms(query) if t in self.terms] if score else []
+        self.scored = [t for t in scored_terms_of(query) if t in self.terms] if score else []
         self.number = {t: i for i, t in enumerate(self.terms)}
         self.phrases = list(dict.fromkeys(q for q in walk(query) if isinstance(q, Phrase) and len(q.terms) > 1 and all((q.field, t) in self.number for t in q.terms)))
         self.text_fields = list(dict.fromkeys(f for f, _ in self.scored if view.mapping.fields[f].type == "text"))
@@ -202,7 +191,7 @@ class Compiled:
             )
             named = {self.number[t]: (F.col("field") == t[0]) & (F.col("term") == t[1]) for t in self.scored}
             df = view.term_stats.filter(_any(list(named.values()))).groupBy("_shard").agg(*[F.max(F.when(c, F.col("df"))).alias(f"_df{i}") for i, c in named.items()])
-            return n.join(df, "_shard")
+            return n.join(df, "_shard", "left").fillna(0)
         sums = [F.sum(f"_len_{f}").alias(f"_sum_{f}") for f in self.text_fields]
         has = lambda t: self.holds(*t) if self._direct(t[0]) else self.count(*t) > 0
         dfs = [F.coalesce(F.count_if(has(t)), F.lit(0)).alias(f"_df{self.number[t]}") for t in self.scored]
@@ -231,4 +220,4 @@ def matches(query: Query, view: View, score: bool = True) -> DataFrame:
     return Compiled(query, view).matches()
 
 
-__all__ = ["KEYS", "Compiled", "matches", "scored_terms"]
+__all__ = ["KEYS", "Compiled", "matches"]

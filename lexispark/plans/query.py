@@ -88,3 +88,14 @@ def walk(query: Query) -> Iterator[Query]:
     yield query
     for child in query.children():
         yield from walk(child)
+
+
+def scored_terms_of(query: Query) -> list[tuple[str, str]]:
+    """Terms whose score can reach a hit: those under must and should only."""
+    if isinstance(query, Term):
+        return [(query.field, query.term)]
+    if isinstance(query, Phrase):
+        return [(query.field, t) for t in dict.fromkeys(query.terms)]
+    if isinstance(query, Bool):
+        return list(dict.fromkeys(t for q in query.must + query.should for t in scored_terms_of(q)))
+    return []

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +59,21 @@ class Files:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)))
 
 
+_fallback: list[str] = []
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared one; below a temporary one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not _fallback:
+            path = tempfile.mkdtemp(prefix="lexispark-")
+            atexit.register(shutil.rmtree, path, True)
+            _fallback.append(f"file://{path}")
+        named = _fallback[0]
+    return f"{named.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
 def postings(view: View) -> DataFrame:
     """(_shard, field, term, _doc, tf, len, positions), one row per document and term. Keywords have tf 1 and no length."""
     parts = []
