@@ -67,6 +67,15 @@ def table_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of the key; ``rows`` must be cheap to count (a written table).
+
+    Rows are thinned by a second hash first, so that a task passes on its share of the sample and not ``most`` rows.
+    """
+    every = max(1, rows.count() // (2 * most))
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(every)) == 0).orderBy(F.xxhash64(key)).limit(most)
+
+
 def unit(*parts: Column | str) -> Column:
     """A uniform number in (0, 1) that depends on the parts alone."""
     bits = F.shiftrightunsigned(F.xxhash64(*parts), 12)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Scratch, table
+from lexispark.llm.common import Scratch, bounded_sample, table
 from lexispark.llm.vectors import matrix_rows, packed, runs, unpacked
 
 PIVOTS = 48
@@ -173,7 +173,7 @@ def _solve(k: int):
                 cid = cid[order]
                 score = _product(np.frombuffer(r["q_vectors"], np.float64).reshape(-1, r["dims"]), np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dims"])[order])
                 other = qid[:, None] != cid[None, :]
-                rank = np.where(other, score, np.iinfo(np.int64).min)
+                rank = np.where(other, score, np.iinfo(np.int64).min + 1)  # its negative exists too
                 # a stable sort of the negated score keeps the smaller id first among ties
                 top = np.argsort(-rank, axis=1, kind="stable")[:, :k] if rank.shape[1] > k else np.argsort(-rank, axis=1, kind="stable")
                 row = np.arange(len(qid))[:, None]
@@ -202,7 +202,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     base = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null")
     rows = scratch.save(base.mapInArrow(_scaled_rows(scale), "id bigint, is_query boolean, vector binary, norm2 double, dims int"), "rows")
     most = {r["dims"]: r["most"] for r in rows.groupBy("dims").agg(F.max("norm2").alias("most")).collect()}
-    sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("dims", "vector").collect()
+    sample = bounded_sample(rows, "id", SAMPLE_ROWS).select("dims", "vector").collect()
     spaces: dict[int, Space] = {}
     for d, largest in most.items():
         mine = [r["vector"] for r in sample if r["dims"] == d] or [np.zeros(d).tobytes()]
