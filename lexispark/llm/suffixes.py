@@ -13,6 +13,8 @@ from lexispark.llm.repeats import SPANS, Block, Entries, Rule, repeated_elements
 LENGTH = 200
 GRAM = 40
 SHALLOW = 24
+#: Half of what words take: a byte stream has several times as many windows.
+BLOCK_BYTES = 2 << 20
 _BATCH = 1 << 13
 
 
@@ -128,7 +130,7 @@ def repeated_bytes_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text
     other; keys are integers or null; an empty table gives no rows.
     """
     schema = f"id bigint, n_bytes bigint, n_removed bigint, spans {SPANS}, kept binary"
-    out = repeated_elements(docs, key, text, Rule(length, min(GRAM, length), False), Bytes, _kept, schema, _local)
+    out = repeated_elements(docs, key, text, Rule(length, min(GRAM, length), False), Bytes, _kept, schema, _local, BLOCK_BYTES)
     return out.withColumnRenamed("id", key)
 
 
