@@ -20,7 +20,7 @@ WHITE = "[ \t\n\r]+"
 
 def lower_case(text: Column) -> Column:
     """Lower case letter by letter: the two letters whose lower case depends on context or grows are mapped first."""
-    return F.lower(F.translate(text, "İΣ", "iσ"))
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
 def lower_text(text: str) -> str:
@@ -28,8 +28,9 @@ def lower_text(text: str) -> str:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    """Tokens between spaces, tabs and line ends; never empty."""
-    return F.filter(F.split(text, WHITE), lambda x: x != "")
+    """Tokens between spaces, tabs and line ends; never empty. Trimming first leaves no empty token to filter out."""
+    trimmed = F.btrim(text, F.lit(" \t\n\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
 
 
 def ngram_tokens(text: Column, low: int, high: int) -> Column:

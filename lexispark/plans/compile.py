@@ -30,7 +30,7 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def _times(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.eqNullSafe(F.lit(term))))
+    return F.size(tokens) - F.size(F.array_remove(tokens, F.lit(term)))
 
 
 def _in_sequence(tokens: Column, terms: tuple[str, ...]) -> Column:
@@ -79,7 +79,8 @@ class Compiled:
             return F.col(field).cast("string") == terms[0]
         if any(t == "" or any(c in " \t\n\r" for c in t) for t in terms):
             return F.lit(False)
-        return F.contains(self.view.padded(field), F.lit(f" {' '.join(terms)} "))
+        each = _all([F.contains(self.view.blanked(field), F.lit(f" {t} ")) for t in dict.fromkeys(terms)])
+        return each if len(terms) == 1 else each & F.contains(self.view.padded(field), F.lit(f" {' '.join(terms)} "))
 
     def term_score(self, field: str, term: str) -> Column:
         i = self.number[field, term]

@@ -75,10 +75,13 @@ class View:
             return analysis.value_tokens(self.values(field), analyzer)
         return F.coalesce(analyzer.tokens(F.col(field)), F.array().cast("array<string>"))
 
-    def padded(self, field: str) -> Column:
-        """A text of the standard analyzer with a blank around every token: a token or phrase is a substring of it.
+    def blanked(self, field: str) -> Column:
+        """A text of the standard analyzer with blanks around every token, so that a token is a substring of it."""
+        text = analysis.lower_case(F.col(field))
+        for white in "\t\n\r":
+            text = F.replace(text, F.lit(white), F.lit(" "))
+        return F.concat(F.lit(" "), text, F.lit(" "))
 
-        Runs of white space become one blank, so neighbours are one blank apart.
-        """
-        lowered = analysis.lower_case(F.col(field))
-        return F.concat(F.lit(" "), F.regexp_replace(lowered, analysis.WHITE, " "), F.lit(" "))
+    def padded(self, field: str) -> Column:
+        """The same with exactly one blank between two tokens, so that a phrase is a substring of it."""
+        return F.regexp_replace(self.blanked(field), " +", " ")

@@ -7,7 +7,10 @@ import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,36 @@ def own_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
+_TEXT_POSTINGS = "_shard int, _doc long, term string, tf int, len int, positions array<int>"
+
+
+def _grouped_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of token arrays, a batch of documents at a time: all its tokens are sorted by document and term once.
+
+    A document's tokens lie in one row, so grouping them needs no shuffle.
+    """
+    for batch in batches:
+        shard, doc, lists = batch.columns
+        size = np.diff(lists.offsets.to_numpy())
+        size[lists.is_null().to_numpy(zero_copy_only=False)] = 0
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        coded = flat.dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, place, code = (x[code >= 0] for x in (row, place, code))
+        length = np.bincount(row, minlength=len(size))
+        group = row * max(1, len(coded.dictionary)) + code
+        order = np.argsort(group, kind="stable")
+        group, row, place, code = group[order], row[order], place[order], code[order]
+        head = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
+        ends = np.append(head, len(group))
+        owner = pa.array(row[head])
+        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+        columns = [shard.take(owner), doc.take(owner), coded.dictionary.take(pa.array(code[head])), pa.array(np.diff(ends), pa.int32()), pa.array(length[row[head]], pa.int32()), positions]
+        yield pa.RecordBatch.from_arrays(columns, ["_shard", "_doc", "term", "tf", "len", "positions"])
+
+
 def postings(view: View) -> DataFrame:
     """(_shard, field, term, _doc, tf, len, positions), one row per document and term. Keywords have tf 1 and no length."""
     parts = []
@@ -82,10 +115,7 @@ def postings(view: View) -> DataFrame:
             continue
         keys = ["_shard", "_doc"]
         if spec.type == "text":
-            tokens = view.docs.select(*keys, view.tokens(name).alias("tokens"))
-            length = F.size(F.filter("tokens", lambda t: t.isNotNull()))
-            placed = tokens.select(*keys, length.alias("len"), F.posexplode("tokens").alias("position", "term")).filter(F.col("term").isNotNull())
-            rows = placed.groupBy("_shard", "_doc", "term").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("position")).alias("positions"))
+            rows = view.docs.select(*keys, view.tokens(name).alias("tokens")).mapInArrow(_grouped_tokens, _TEXT_POSTINGS)
         else:
             one = view.docs.select(*keys, F.explode(F.array_distinct(view.values(name))).alias("term"))
             rows = one.filter(F.col("term").isNotNull()).select(*keys, "term", F.lit(1).alias("tf"), F.lit(0).alias("len"), F.array(F.lit(0)).alias("positions"))
@@ -123,18 +153,22 @@ POINTER = "_current"
 def save(view: View, folder: str, files: int = 0, keep: int = 2) -> int:
     """Write a new version and make it current; versions older than the last ``keep`` go. Returns the version.
 
-    Postings are split by field and sorted by term, so a term reads few row groups; documents by shard and order.
+    Postings are split by field and sorted by term, so a term reads few row groups. They are written as they come first:
+    a range partitioning samples its input, and must not analyze every text twice for it.
     """
     spark = view.docs.sparkSession
     disk = Files(spark, folder)
     version = (json.loads(disk.read(POINTER))["version"] if disk.exists(POINTER) else 0) + 1
     at = f"{disk.folder}/v{version}"
-    docs = view.docs.repartitionByRange("_shard", "_doc") if not files else view.docs.repartitionByRange(files, "_shard", "_doc")
+    docs = view.docs.repartitionByRange(files, "_shard", "_doc") if files else view.docs
     docs.sortWithinPartitions("_shard", "_doc").write.mode("overwrite").parquet(f"{at}/docs")
     saved = View(spark.read.parquet(f"{at}/docs"), view.mapping, view.shards)
-    made = postings(saved)
-    made = made.repartitionByRange("field", "term", "_shard") if not files else made.repartitionByRange(files, "field", "term", "_shard")
-    made.sortWithinPartitions("field", "term", "_shard", "_doc").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+    postings(saved).write.mode("overwrite").parquet(f"{at}/unsorted")
+    made = spark.read.parquet(f"{at}/unsorted")
+    by = ("field", "term", "_shard")
+    made = (made.repartitionByRange(files, *by) if files else made.repartitionByRange(*by)).sortWithinPartitions(*by, "_doc")
+    made.write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+    disk.delete(f"v{version}/unsorted")
     field_statistics(saved).write.mode("overwrite").parquet(f"{at}/fields")
     term_statistics(spark.read.schema(_POSTINGS).parquet(f"{at}/postings")).sort("field", "term").write.mode("overwrite").parquet(f"{at}/terms")
     disk.replace(POINTER, json.dumps({"version": version, "shards": view.shards, "mapping": view.mapping.to_dict()}))
