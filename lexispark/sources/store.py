@@ -160,7 +160,7 @@ def save(view: View, folder: str, files: int = 0, keep: int = 2) -> int:
     disk = Files(spark, folder)
     version = (json.loads(disk.read(POINTER))["version"] if disk.exists(POINTER) else 0) + 1
     at = f"{disk.folder}/v{version}"
-    docs = view.docs.repartitionByRange(files, "_shard", "_doc") if files else view.docs
+    docs = view.docs.repartitionByRange(files, "_shard", "_doc") if files else view.docs.repartition("_shard", "_doc")
     docs.sortWithinPartitions("_shard", "_doc").write.mode("overwrite").parquet(f"{at}/docs")
     saved = View(spark.read.parquet(f"{at}/docs"), view.mapping, view.shards)
     postings(saved).write.mode("overwrite").parquet(f"{at}/unsorted")
