@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Scratch, mix, table, text_buffers, word_bounds, word_hashes
+from lexispark.llm.common import WORD, Scratch, mix, table, text_buffers, word_bounds, word_hashes
 from lexispark.llm.components import connected_components
 
 WIDTH = 5
@@ -218,3 +218,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP3_SQL = rf"""
+with recursive words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) as w from documents),
+sh as (
+  select distinct doc_id, unnest(case when len(w) >= {WIDTH} then list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))
+                                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+sizes as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select a as id, b as seen from links union select r.id, l.b from reach r join links l on r.seen = l.a),
+low as (select id, least(id, min(seen)) as component_id from reach group by id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id)::bigint as component_id, d.doc_id = coalesce(component_id, d.doc_id) as kept
+from documents d left join sizes s on s.doc_id = d.doc_id left join low on low.id = d.doc_id
+"""

@@ -24,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_epsilon_grid_near_dedup": epsilon_grid.OP1_SQL,
         "op2_rlz_substring_dedup": substring.OP2_SQL,
+        "op3_minhash_near_dedup": minhash.OP3_SQL,
         "op4_pareto_mixing": mixing.OP4_SQL,
         "op9_voronoi_top_k": voronoi.OP9_SQL,
     }
