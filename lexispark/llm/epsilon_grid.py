@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Scratch, table
+from lexispark.llm.common import Scratch, bounded_sample, table
 from lexispark.llm.components import connected_components, spanning_stars
 from lexispark.llm.vectors import matrix_rows, packed, runs, unpacked
 
 BLOCK = 512
 LEAF = 64
 AXES = 8
-SAMPLE_ROWS = 8_192
+SAMPLE_ROWS = 4_096
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
     classes = rows.groupBy("label", "vector", "dims").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "label", "vector", "weight", "dims")
     classes = scratch.save(classes, "classes")
 
-    sample = classes.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("dims", "vector").collect()
+    sample = bounded_sample(classes, "id", SAMPLE_ROWS).select("dims", "vector").collect()
     axes = {d: _axes([r["vector"] for r in sample if r["dims"] == d], d) for d in {r["dims"] for r in sample}}
     for (d,) in classes.select("dims").distinct().collect():  # lengths that the sample missed
         axes.setdefault(d, np.eye(d)[:, : min(AXES, d)])
