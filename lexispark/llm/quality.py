@@ -11,13 +11,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Scratch, table, text_buffers, word_bounds, word_hashes
+from lexispark.llm.common import Scratch, bounded_sample, table, text_buffers, word_bounds, word_hashes
 
 FEATURES = (
     "log_words", "mean_word", "longest_word", "short_words", "long_words", "upper", "capitals", "bangs", "bars", "symbols",
     "digits", "stops", "lines", "wide", "repeat_1", "repeat_2", "repeat_lines",
 )
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 20_000
 _CLASS = {
     "upper": range(65, 91), "letters": [*range(65, 91), *range(97, 123)], "bangs": b"!?", "bars": b"|", "symbols": b"#$%&*@^~<>{}[]\\=+_",
     "digits": range(48, 58), "stops": b".,;:", "lines": b"\n", "wide": range(128, 256),
@@ -220,8 +220,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     features = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{f} float" for f in FEATURES))
     features = scratch.save(features, "features")
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("key")).agg(F.avg(label).alias("y"))
-    rows = features.join(known, "key").orderBy(F.xxhash64("key"), *FEATURES).limit(sample_rows).select("y", *FEATURES).toPandas()
-    model = fit(rows[list(FEATURES)].to_numpy(np.float32), (rows["y"].to_numpy(float) >= 0.5).astype(float))
+    known = scratch.save(known, "labels")
+    rows = features.join(bounded_sample(known, "key", sample_rows), "key").orderBy(F.xxhash64("key"), *FEATURES).select("y", *FEATURES).limit(sample_rows).toArrow()
+    x = np.column_stack([rows[f].to_numpy() for f in FEATURES]).astype(np.float32)
+    model = fit(x, (rows["y"].to_numpy() >= 0.5).astype(float))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
