@@ -33,6 +33,12 @@ def _times(tokens: Column, term: str) -> Column:
     return F.size(tokens) - F.size(F.array_remove(tokens, F.lit(term)))
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """Texts over all cores where the table has fewer splits than the cluster has; larger tables stay where they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _in_sequence(tokens: Column, terms: tuple[str, ...]) -> Column:
     """Whether the token array holds the terms one after another; rows that lack one of them aren't walked through."""
     wanted, k = F.array(*[F.lit(t) for t in terms]), len(terms)
@@ -141,7 +147,7 @@ class Compiled:
         phrases = [q for q in self.phrases if not (self._direct(q.field) and view.mapping.fields[q.field].type == "text")]
         counted = list(dict.fromkeys(self.scored + indirect))
         fields = list(dict.fromkeys([f for f, _ in counted] + [q.field for q in phrases]))
-        out = view.docs.withColumns({f"_tok_{f}": view.tokens(f) for f in fields}) if fields else view.docs
+        out = _spread(view.docs).withColumns({f"_tok_{f}": view.tokens(f) for f in fields}) if fields else view.docs
         columns: dict[str, Column] = {}
         for f, term in counted:
             holds, i = F.col(f"_tok_{f}"), self.number[f, term]
