@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-_SIZE_UNKNOWN = 1 << 60
-_made: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +57,8 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table_bytes(df: DataFrame, text: str) -> int:
-    """Bytes of a text column: the planner's figure for files, else a count."""
-    known = int(str(df.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known < _SIZE_UNKNOWN:
-        return known
+def text_bytes(df: DataFrame, text: str) -> int:
+    """Bytes of a text column, counted: the planner's figure is that of compressed files, or a guess after joins."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import _BYTE, table, text_buffers
-from lexispark.llm.repeats import SPANS, Block, Entries, Rule, repeated_elements, spans_of
+from lexispark.llm.repeats import HOT, SPANS, Block, Entries, Passages, Rule, repeated_elements, spans_of
 
 LENGTH = 200
 GRAM = 40
@@ -23,18 +23,23 @@ class Bytes:
 
     def __init__(self, texts: pa.ChunkedArray):
         self.body, self.at = text_buffers(texts)
+        self.text = self.body.tobytes()
 
     def values(self, lo: int, hi: int) -> np.ndarray:
         return _BYTE[self.body[lo:hi]]
 
+    def edge(self, place: np.ndarray) -> np.ndarray:
+        return place
+
 
 def _windows(body: np.ndarray, places: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(body, hi - lo)[places + lo]
 
 
-def deep_shallow_sort(body: np.ndarray, places: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow_sort(body: np.ndarray, places: np.ndarray, length: int, shallow: int = SHALLOW, within: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``places`` by their first ``length`` bytes, and a group number for each, equal where
-    these bytes are equal. Every place must have ``length`` bytes. Ties keep their order.
+    these bytes are equal. Every place must have ``length`` bytes. Ties keep their order. With ``within`` (keys, most
+    significant last) the suffixes are ordered by these first, and only those of equal keys form a group.
 
     Shallow: multikey quicksort over characters of eight bytes. All groups still tied are split by their next
     character at once, down to ``shallow`` bytes. Deep: a tied group becomes a blind trie. Its first suffix is the
@@ -62,6 +67,8 @@ def deep_shallow_sort(body: np.ndarray, places: np.ndarray, length: int, shallow
         size = np.bincount(np.cumsum(fresh) - 1)
         return by[np.repeat(size > 1, size)]
 
+    if within and n > 1:
+        tied = split(tied, within)
     depth = 0
     while depth < min(shallow, length) and len(tied):
         step = min(8, length - depth)
@@ -94,17 +101,50 @@ def deep_shallow_sort(body: np.ndarray, places: np.ndarray, length: int, shallow
     return np.lexsort((np.arange(n), group)), group
 
 
-def _local(block: Block, places: np.ndarray, one: np.ndarray, two: np.ndarray) -> Entries:
-    """Distinct windows of a block by their bytes; the signatures only name them to other blocks."""
-    order, group = deep_shallow_sort(block.stream.body, places, block.rule.window)
+def _first_of_equals(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first member of every group, and the number of each member's group."""
     sorted_group = group[order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = sorted_group[1:] != sorted_group[:-1]
-    head = np.flatnonzero(fresh)
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(fresh) - 1
-    first = order[head]
-    return Entries(one[first], two[first], first, np.diff(np.append(head, len(order))) > 1, of)
+    return order[fresh], of
+
+
+def sorted_repeats(passages: Passages, rule: Rule) -> np.ndarray:
+    """The windows of a reference block that stand in it more than once, read from the order of its suffixes.
+
+    Whole passages are ordered first, by the suffixes at their first and at their last window, which together hold all
+    their bytes: equal ones become one with a weight. Then all suffixes of the passages that share a k-gram with a different one are
+    sorted; a group of equal suffixes with a weight above one repeats.
+    """
+    body, length, at, count, gram, shift = passages.body, rule.window, passages.at, passages.count, passages.gram, passages.shift
+    _, head = deep_shallow_sort(body, at[:-1], length, within=(shift, count, gram))
+    _, tail = deep_shallow_sort(body, at[1:] - length, length, within=(head,))
+    first, of = _first_of_equals(np.argsort(tail, kind="stable"), tail)
+    weight = np.bincount(of, 1 + passages.many)
+    mask = np.repeat(weight[of] > 1, count)
+
+    _, kin, kinds = np.unique(gram[first], return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(kinds[kin] > 1)
+    take, heavy = first[open_], weight[open_]
+    size = count[take]
+    nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    places = np.repeat(at[:-1][take], size) + nth
+    order, group = deep_shallow_sort(body, places, length, within=(np.repeat(shift[take], size) - nth, np.repeat(gram[take], size)))
+    _, same = _first_of_equals(order, group)
+    found = np.zeros(len(mask), bool)
+    found[np.repeat(passages.windows[:-1][take], size) + nth] = np.bincount(same, np.repeat(heavy, size))[same] > 1
+    # every copy of a passage is decided with its first
+    pick = np.repeat(passages.windows[:-1][first[of]] - passages.windows[:-1], count) + np.arange(len(mask))
+    return mask | found[pick]
+
+
+def _local(block: Block, places: np.ndarray, one: np.ndarray, two: np.ndarray) -> Entries:
+    """Distinct windows of a block by their bytes; the signatures only name them to other blocks."""
+    order, group = deep_shallow_sort(block.stream.body, places, block.rule.window)
+    first, of = _first_of_equals(order, group)
+    return Entries(one[first], two[first], first, np.bincount(of, minlength=len(first)) > 1, of)
 
 
 def _kept(block: Block, mask: np.ndarray) -> pa.Table:
@@ -118,20 +158,21 @@ def _kept(block: Block, mask: np.ndarray) -> pa.Table:
     return pa.table({"id": block.rows["id"], "n_bytes": pa.array(np.diff(at)), "n_removed": pa.array(removed), "spans": spans_of(mask, at), "kept": pa.array(kept, pa.binary())})
 
 
-def repeated_bytes_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def repeated_bytes_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Every text without the bytes covered by a string of ``length`` bytes that also starts elsewhere in the corpus.
 
-    Each block sorts its undecided suffixes deep-shallow and so knows its own repeats byte by byte; between blocks a
-    distinct string is known by a 128-bit signature, since whole suffixes wouldn't fit the disk (see repeats.py).
-    Overlapping copies count, within one text as well; no match crosses texts.
+    Passages that share a k-gram meet as bytes in one reference block (see repeats.py), whose suffixes are sorted
+    deep-shallow; equal neighbours are the repeats. Overlapping copies count, within one text as well; no match
+    crosses texts. Of k-grams with more than ``hot`` passages the suffixes are sorted in their own block, and distinct ones meet by
+    a 128-bit signature.
 
     Returns key, n_bytes, n_removed, spans (byte offsets, end exclusive, maximal) and kept (binary: the other
     bytes, which may cut a character), one row per row. Null texts are empty; repeated rows are copies of each
     other; keys are integers or null; an empty table gives no rows.
     """
     schema = f"id bigint, n_bytes bigint, n_removed bigint, spans {SPANS}, kept binary"
-    out = repeated_elements(docs, key, text, Rule(length, min(GRAM, length), False), Bytes, _kept, schema, _local, BLOCK_BYTES)
-    return out.withColumnRenamed("id", key)
+    rule = Rule(length, min(GRAM, length), False, hot)
+    return repeated_elements(docs, key, text, rule, Bytes, sorted_repeats, _kept, schema, _local, BLOCK_BYTES).withColumnRenamed("id", key)
 
 
 def op10_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

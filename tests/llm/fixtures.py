@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, size long, key string, bucket int, copies int, uid long, "
     "block int, component long, shard int, spans string, score double, n long, id long, label int, rep long, group string"
@@ -87,8 +89,9 @@ def near_links(rows, percent):
 
 
 def removed_words(rows, window):
-    """Rows in order of key (null last) and text: (kept words, number removed)."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1] or ""))
+    """Rows in order of key (null last) and hash of the text: (kept words, number removed)."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, signed(xxhash.xxh64_intdigest((rows[i][1] or "").encode(), 42))))
     seen, out = set(), {}
     for i in order:
         w = words(rows[i][1])

@@ -6,13 +6,13 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexispark.llm import packing, quality, secrets, sharding, stages, suffixes
+from lexispark.llm import packing, quality, repeats, secrets, sharding, stages, suffixes
 from lexispark.llm.minhash import near_duplicates, shingle_sets, sketches
 from lexispark.llm.mixing import mix_sources
-from lexispark.llm.substring import substring_dedup
+from lexispark.llm.substring import factor, substring_dedup
 from lexispark.llm.suffixes import repeated_bytes_dedup
 from lexispark.llm.tokens import encoder
-from tests.llm.fixtures import SCHEMA, by_sequence, components, corpus, docs_of, near_links, removed_bytes, removed_words, words
+from tests.llm.fixtures import SCHEMA, by_sequence, components, corpus, docs_of, near_links, prose, removed_bytes, removed_words, words
 
 
 @pytest.fixture(scope="module")
@@ -30,22 +30,64 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substring_dedup_against_brute_force(docs, rows, empty):
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_dedup_against_brute_force(docs, rows, empty, hot):
     expected = Counter((rows[i][0], n, gone, kept) for i, (kept, gone, n) in removed_words(rows, 20).items())
-    got = substring_dedup(docs).collect()
+    got = substring_dedup(docs, hot=hot).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == expected
     for r in got:
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
     assert substring_dedup(empty).count() == 0
 
 
-def test_suffix_dedup_against_brute_force(docs, rows, empty):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup_against_brute_force(docs, rows, empty, hot):
     expected = Counter((r[0], *e) for r, e in zip(rows, removed_bytes(rows, 200)))
-    got = repeated_bytes_dedup(docs).collect()
+    got = repeated_bytes_dedup(docs, hot=hot).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got) == expected
     assert repeated_bytes_dedup(empty).count() == 0
 
 
+def test_dedup_of_shuffled_phrases_and_repeated_keys(spark):
+    """Many passages under one k-gram, that agree now to the left and now to the right of it; keys that repeat with other texts."""
+    rng = random.Random(21)
+    phrases = [prose(rng, 6) for _ in range(8)]
+    rows = [(rng.choice([None, *range(40)]), " ".join(rng.choice(phrases) for _ in range(rng.randrange(1, 12)))) for _ in range(120)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = Counter((rows[i][0], n, gone, kept) for i, (kept, gone, n) in removed_words(rows, 9).items())
+    for hot in (4096, 3):
+        got = substring_dedup(made, window=9, hot=hot).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == expected
+        want = Counter((r[0], *e) for r, e in zip(rows, removed_bytes(rows, 50)))
+        got = repeated_bytes_dedup(made, length=50, hot=hot).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got) == want
+
+
+def _passages(texts, window):
+    body = b"".join(t.encode() + b" " for t in texts)
+    at = np.cumsum([0, *[len(t.encode()) + 1 for t in texts]])
+    n = len(texts)
+    count = np.array([len(t.split()) - window + 1 for t in texts])
+    return repeats.Passages(np.zeros(n, np.uint64), count, np.zeros(n, np.int64), np.zeros(n, bool), np.frombuffer(body, np.uint8), at)
+
+
+def test_factors_go_on_in_another_reference_at_their_boundary():
+    texts = ["a b c d e", "c d e f g", "x b c d e f g y", "a b c d q"]
+    mask = factor(_passages(texts, 3), repeats.Rule(3, 1, True))
+    # x b c | b c d e | d e f (known from the second text only) | e f g | f g y, and a b c d up to q
+    assert mask.tolist() == [False] * 3 + [True] + [False] * 2 + [False, True, True, True, True, False] + [True, True, False]
+
+
+def test_sorted_repeats_reads_them_from_the_order_of_suffixes():
+    rng = random.Random(8)
+    shared = bytes(rng.choice(b"abc") for _ in range(40))
+    texts = [b"l" * 5 + shared + b"1234", b"l" * 5 + shared + b"9876", b"m" * 3 + shared, b"l" * 5 + shared + b"1234"]
+    count = np.array([len(t) - 40 + 1 for t in texts])
+    passages = repeats.Passages(np.zeros(4, np.uint64), count, np.array([5, 5, 3, 5]), np.zeros(4, bool), np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    mask = suffixes.sorted_repeats(passages, repeats.Rule(40, 8, False))
+    assert mask.tolist() == [True] * 10 + [True] * 6 + [False] * 4 + [False] * 3 + [True] + [True] * 10
+
+
 def test_deep_shallow_sort_orders_suffixes():
     rng = random.Random(3)
     unit = bytes(rng.choice(b"ab") for _ in range(90))
