@@ -23,7 +23,7 @@ def source_targets(sized: DataFrame, cap: float = 3.0, weights: tuple[int, ...]
     with the smallest cap * size / weight; the level is found by prefix sums over that order. One row per
     source is all that the global window sorts.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("rows"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     turn = (F.col("rank") - 1) % len(weights)
     chosen = F.element_at(F.array(*[F.lit(w) for w in weights]), (turn + 1).cast("int"))
@@ -41,17 +41,18 @@ def source_targets(sized: DataFrame, cap: float = 3.0, weights: tuple[int, ...]
     # with the sources in this order the level stays the same from the first that fits on
     first_fit = F.min(F.when(F.col("fits"), F.struct(F.col("source_size") * F.lit(cap) / F.col("w"), "rank", "level"))).over(everything)
     target = F.least(F.col("source_size") * F.lit(cap), F.coalesce(first_fit["level"], F.lit(float("inf"))) * F.col("w"))
-    return filled.select("source", "w", "source_size", target.alias("target"))
+    return filled.select("source", "w", "source_size", "rows", target.alias("target"))
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED) -> DataFrame:
     """Copies of every row so that the words taken of each source meet its target.
 
     Each row first gets the whole copies that target / source size makes certain. The rest of the target is a
-    sample without replacement: rows are ranked by their random odds u / (1 - u) over their inclusion odds
-    l / (1 - l), and taken in that order while their words fit; then one more row, the one whose size comes
-    nearest to the words still open, closes the gap if it narrows it. A source of any size is cut by two levels
-    of histograms over the rank and a sort of one of their cells only.
+    sample without replacement and with unequal probabilities: a row's inclusion odds l / (1 - l) are those of its
+    source's rest, times its size over the mean size of the source, so that longer rows are likelier. Rows are ranked by
+    their random odds u / (1 - u) over their inclusion odds and taken in that order while their words fit; then one more
+    row, the one whose size comes nearest to the words still open, closes the gap if it narrows it. A source of any size is
+    cut by two levels of histograms over the rank and a sort of one of their cells only.
 
     Returns key, source, size (words; null text 0), source_size, target, copies, taken. Null is a source of its
     own, ranked last; rows without words never change the mix; equal keys (repeated rows) are taken together,
@@ -64,14 +65,15 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     )
     targets = scratch.save(source_targets(sized, cap, weights), "targets").withColumnRenamed("source", "s")
 
-    size, u, odds = F.col("source_size"), F.col("u"), F.col("rate")
+    size, u = F.col("source_size"), F.col("u")
     plan = (
         targets.withColumn("whole", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int"))
         .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * size))
         .withColumn("rate", F.when(size > 0, F.least(F.col("rest") / size, F.lit(1.0))).otherwise(0.0))
     )
-    # Pareto rank q = (u / (1 - u)) / (rate / (1 - rate)), kept as q / (1 + q) in [0, 1]
-    spot = u * (1 - odds) / (u * (1 - odds) + (1 - u) * odds)
+    # inclusion odds rate / (1 - rate) * own size / mean size; Pareto rank q = (u / (1 - u)) / odds, kept as q / (1 + q) in [0, 1]
+    for_it, against = F.col("rate") * (F.col("size") * F.col("rows")).cast("double"), (1 - F.col("rate")) * size.cast("double")
+    spot = F.when(for_it > 0, u * against / (u * against + (1 - u) * for_it)).otherwise(1.0)
     ranked = (
         sized.join(plan, sized["source"].eqNullSafe(plan["s"]))
         .drop("s")
@@ -132,7 +134,7 @@ with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
          (('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || '/{SEED}'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
   from documents),
-totals as (select source, sum(size)::bigint as source_size from sized group by source),
+totals as (select source, sum(size)::bigint as source_size, count_if(size > 0)::bigint as filled from sized group by source),
 weighed as (select *, [1, 2, 3][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as w,
                    row_number() over (order by source nulls last) as rank from totals),
 levels as (
@@ -142,14 +144,15 @@ levels as (
   from weighed),
 lvl as (select arg_min(level, (room, rank)) as level from levels where source_size * 3.0::double >= level * w),
 plan as (
-  select source, source_size, least(source_size * 3.0::double, coalesce(lvl.level, 'inf'::double) * w) as target
+  select source, source_size, filled, least(source_size * 3.0::double, coalesce(lvl.level, 'inf'::double) * w) as target
   from levels, lvl),
 parts as (select *, case when source_size > 0 then floor(target / source_size)::int else 0 end as whole from plan),
 rests as (select *, greatest(0.0::double, target - whole * source_size) as rest from parts),
 ranked as (
   select s.doc_id, s.size, s.u, r.*, case when source_size > 0 then least(rest / source_size, 1.0::double) else 0.0::double end as rate
   from sized s join rests r on s.source is not distinct from r.source),
-spots as (select *, u * (1 - rate) / (u * (1 - rate) + (1 - u) * rate) as spot from ranked),
+odds as (select *, rate * (size * filled)::double as for_it, (1 - rate) * source_size::double as against from ranked),
+spots as (select *, case when for_it > 0 then u * against / (u * against + (1 - u) * for_it) else 1.0::double end as spot from odds),
 runs as (select *, rest > 0 and sum(size) over (partition by source order by spot, doc_id) <= rest as drawn from spots),
 gaps as (select *, rest - sum(case when drawn then size else 0 end) over (partition by source) as gap from runs),
 closes as (select source, arg_min(doc_id, (abs(gap - size), spot, doc_id)) as x from gaps where not drawn and size > 0 and abs(gap - size) < gap group by source)

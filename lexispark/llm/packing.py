@@ -17,7 +17,9 @@ CAPACITY = 1024
 END_ID = 2
 LEAF_ITEMS = 32_768
 FAN_IN = 16
-CARRY = 8_192
+MERGE_ITEMS = 131_072
+#: A round of merging that leaves more than this share of the underfull bins apart is the last one.
+STALLED = 0.98
 SLICE_BYTES = 6 << 20
 
 
@@ -86,7 +88,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     return source.mapInArrow(run, f"key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _local(capacity: int, enough: int, carry: int):
+def _local(capacity: int, enough: int):
     def run(group: pa.Table) -> pa.Table:
         # the order of rows within a group isn't fixed, the row numbers are
         uid, length = group["uid"].to_numpy(), group["length"].to_numpy()
@@ -96,27 +98,25 @@ def _local(capacity: int, enough: int, carry: int):
         lead = np.zeros(len(fills), np.int64)
         lead[bins[offsets == 0]] = uid[offsets == 0]
         fill = np.array(fills, np.int64)
-        open_bins = np.flatnonzero(fill < enough)
-        open_bins = open_bins[np.argsort(fill[open_bins], kind="stable")][:carry]
-        is_open = np.zeros(len(fill), bool)
-        is_open[open_bins] = True
         head = offsets == 0
         return pa.table(
             {
                 "uid": pa.array(uid), "bin": pa.array(lead[bins]), "offset": pa.array(offsets), "fill": pa.array(fill[bins]),
-                "bucket": pa.array(np.full(len(uid), group["bucket"][0].as_py(), np.int64)), "open": pa.array(head & is_open[bins]),
+                "bucket": pa.array(np.full(len(uid), group["bucket"][0].as_py(), np.int64)), "open": pa.array(head & (fill[bins] < enough)),
             }
         )
 
     return run
 
 
-def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEMS, fan_in: int = FAN_IN, carry: int = CARRY) -> DataFrame:
+def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, leaf_items: int = LEAF_ITEMS, fan_in: int = FAN_IN, merge_items: int = MERGE_ITEMS) -> DataFrame:
     """uid, sequence_id and offset of every piece (uid, length); a sequence is named by the uid of its first piece.
 
     Groups of about ``leaf_items`` pieces are packed by best fit on their own. Bins at least 63/64 full are
-    done; the others become items of the next round, in which ``fan_in`` groups are packed together, up to one group
-    at the root. A group hands on at most ``carry`` bins, those with most room; the rest stay sequences as they are.
+    done; all others become items of the next round, in which ``fan_in`` groups are packed together, until one group is left.
+    Where more than ``merge_items`` bins would meet in one task they are spread over more groups instead, other ones each
+    round; where they are too full to go together (pieces of two thirds of the capacity, say) rounds stop as soon as one joins
+    next to nothing.
     """
     n = pieces.count()
     groups = max(1, -(-n // leaf_items))
@@ -125,7 +125,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, leaf_ite
     schema = "uid bigint, bin bigint, offset bigint, fill bigint, bucket bigint, open boolean"
     placed, level = None, 0
     while True:
-        step = scratch.save(items.groupBy("bucket").applyInArrow(_local(capacity, enough, carry), schema), f"level{level}")
+        step = scratch.save(items.groupBy("bucket").applyInArrow(_local(capacity, enough), schema), f"level{level}")
         if placed is None:
             placed = step.select("uid", "bin", "offset")
         else:
@@ -133,10 +133,13 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, leaf_ite
             placed = placed.join(up, placed["bin"] == up["child"], "left").select(
                 "uid", F.coalesce("parent", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
             )
-        if groups == 1:
+        left = step.filter("open").count() if groups > 1 else 0
+        if groups == 1 or (level and left > STALLED * n):
             return placed.select("uid", F.col("bin").alias("sequence_id"), "offset")
-        groups, level = -(-groups // fan_in), level + 1
-        items = step.filter("open").select(F.col("bin").alias("uid"), F.col("fill").alias("length"), F.pmod(F.col("bucket"), F.lit(groups)).alias("bucket"))
+        merged, needed = -(-groups // fan_in), -(-left // merge_items)
+        groups, level, n = max(merged, needed), level + 1, left
+        to = F.col("bucket") if merged >= needed else F.xxhash64("bin", F.lit(level))
+        items = step.filter("open").select(F.col("bin").alias("uid"), F.col("fill").alias("length"), F.pmod(to, F.lit(groups)).alias("bucket"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import os
 from functools import lru_cache
 
@@ -87,27 +86,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.piece = self._piece(path)
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _piece(self, path: str):
-        """Ids of one pre-token: the ranks beside the file where they exist, which merge faster, else the file itself."""
-        ranked = os.path.splitext(path)[0] + ".tiktoken"
-        if os.path.exists(ranked):
-            import tiktoken
-
-            with open(ranked, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            made = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            return made.encode_ordinary
-        return lambda text: self.full.encode(text, add_special_tokens=False).ids
-
     def _encode_new(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = body.tobytes()
-        out = [self.piece(raw[s:e].decode()) for s, e in zip(starts.tolist(), ends.tolist())]
+        made = self.full.encode_batch_fast([raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
+        out = [x.ids for x in made]
         at = np.zeros(len(out) + 1, np.int64)
         np.cumsum([len(x) for x in out], out=at[1:])
         return np.fromiter((i for x in out for i in x), np.uint32, int(at[-1])), at

@@ -184,6 +184,35 @@ def test_packing_merges_levels(spark):
     assert len(placed) == 3000 and len(sequences) <= 1.01 * sum(r["length"] for r in placed) / 1024 + 1
 
 
+def test_packing_of_bins_that_never_fit_together(spark):
+    from lexispark.llm.common import Scratch
+
+    pieces = spark.createDataFrame([(i, 600) for i in range(900)] + [(1000 + i, 30) for i in range(40)], "uid long, length long")
+    placed = packing.pack(pieces, Scratch(spark, "stalled"), 1024, leaf_items=100, fan_in=3, merge_items=150).collect()
+    assert len({r["uid"] for r in placed}) == 940 and len({r["sequence_id"] for r in placed}) == 900
+
+
+def test_pareto_order_prefers_long_rows(spark):
+    """With one source the odds of a row grow with its size, so the order isn't that of the random numbers."""
+    rows = [(i, "w " * (10 if i % 2 else 100), "a" if i < 2000 else "b") for i in range(2600)]
+    made = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1)).filter("source = 'a'").collect()
+    taken = Counter(r["size"] for r in made if r["copies"])
+    rate = made[0]["target"] / made[0]["source_size"]
+    assert 0.5 < rate < 1 and abs(sum(r["taken"] for r in made) - made[0]["target"]) <= 50
+    assert taken[100] > 1.3 * taken[10]
+    # brute force: the same ranks in plain Python
+    number = lambda k: (int(hashlib.md5(f"{k}/mix-1".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+    odds = lambda r: number(r["doc_id"]) / (1 - number(r["doc_id"])) / r["size"]
+    left, want = made[0]["target"], set()
+    for r in sorted(made, key=odds):
+        if r["size"] > left:
+            break
+        left -= r["size"]
+        want.add(r["doc_id"])
+    got = {r["doc_id"] for r in made if r["copies"]}
+    assert want <= got and len(got - want) <= 1
+
+
 def test_tokens_equal_the_library():
     made = encoder(packing.default_tokenizer())
     rng = random.Random(5)
