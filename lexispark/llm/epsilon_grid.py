@@ -19,48 +19,62 @@ AXES = 8
 SAMPLE_ROWS = 4_096
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, labels, vectors = batch.columns
-        for rows, values in matrix_rows(vectors):
-            largest = np.abs(values).max(1)
-            rows, values = rows[largest > 0], values[largest > 0]
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([ids.take(take), labels.take(take), packed(values), pa.array(np.full(len(rows), values.shape[1], np.int32))], ["id", "label", "vector", "dims"])
+def _vector_rows(kind: np.dtype):
+    """Rows with their vector as packed numbers, null where it can't link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", "id", "label", "vector", "dims"]
+        for batch in batches:
+            uid, ids, labels, vectors = batch.columns
+            alone = np.ones(len(uid), bool)
+            open_ = ids.is_valid().to_numpy(zero_copy_only=False) & labels.is_valid().to_numpy(zero_copy_only=False)
+            for rows, values in matrix_rows(vectors):
+                good = open_[rows] & (np.abs(values).max(1) > 0)
+                rows, values = rows[good], values[good].astype(kind)
+                if not len(rows):
+                    continue
+                alone[rows] = False
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([uid.take(take), ids.take(take), labels.take(take), packed(values), pa.array(np.full(len(rows), values.shape[1], np.int32))], names)
+            take = pa.array(np.flatnonzero(alone))
+            yield pa.RecordBatch.from_arrays([uid.take(take), ids.take(take), labels.take(take), pa.nulls(len(take), pa.binary()), pa.nulls(len(take), pa.int32())], names)
+
+    return run
 
 
 def _units(values: np.ndarray) -> np.ndarray:
+    values = values.astype(np.float64)
     values = values / np.abs(values).max(1, keepdims=True)  # no overflow in the squares
     return values / np.sqrt((values * values).sum(1, keepdims=True))
 
 
-def _axes(sample: list[bytes], dims: int) -> np.ndarray:
+def _axes(sample: list[bytes], dims: int, kind: np.dtype) -> np.ndarray:
     """The leading principal axes of a bounded sample; they order and prune, results don't depend on them."""
-    units = _units(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dims))
+    units = _units(np.frombuffer(b"".join(sample), kind).reshape(-1, dims))
     _, axes = np.linalg.eigh(units.T @ units)
     return np.ascontiguousarray(axes[:, ::-1][:, : min(AXES, dims)])
 
 
-def _cells(axes: dict[int, np.ndarray], epsilon: float):
+def _cells(axes: dict[int, np.ndarray], epsilon: float, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(4).to_numpy()
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                spots = np.floor((_units(unpacked(part.column(2))) @ axes[int(d)] + 2.0) / epsilon).astype(">u2")
+                spots = np.floor((_units(unpacked(part.column(2), kind)) @ axes[int(d)] + 2.0) / epsilon).astype(">u2")
                 yield pa.RecordBatch.from_arrays([*part.columns, packed(spots)], ["id", "label", "vector", "weight", "dims", "cells"])
 
     return run
 
 
-def _blocks(axes: dict[int, np.ndarray], schema_label: pa.DataType):
-    """Sorted rows as blocks of one label: ids, weights, unit vectors and the box on the leading axes."""
+def _blocks(axes: dict[int, np.ndarray], schema_label: pa.DataType, kind: np.dtype):
+    """Sorted rows as blocks of one label: ids, weights, vectors as they came and the box of their units on the leading axes."""
 
-    def emit(label, dims: int, ids: np.ndarray, weight: np.ndarray, units: np.ndarray, number: int) -> pa.RecordBatch:
-        spots = units @ axes[dims]
-        values = [[number], [label], [dims], [ids.tobytes()], [weight.tobytes()], [units.tobytes()], [spots.min(0).tolist()], [spots.max(0).tolist()]]
+    def emit(label, dims: int, ids: np.ndarray, weight: np.ndarray, vectors: np.ndarray, number: int) -> pa.RecordBatch:
+        spots = _units(vectors) @ axes[dims]
+        values = [[number], [label], [dims], [ids.tobytes()], [weight.tobytes()], [vectors.tobytes()], [spots.min(0).tolist()], [spots.max(0).tolist()]]
         kinds = [pa.int64(), schema_label, pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["block", "label", "dims", "ids", "weights", "units", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["block", "label", "dims", "ids", "weights", "vectors", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -83,11 +97,11 @@ def _blocks(axes: dict[int, np.ndarray], schema_label: pa.DataType):
                 if held and held[0][0] != key:
                     yield from flush()
                 ids, weight = batch.column(0)[lo:hi].to_numpy(), batch.column(3)[lo:hi].to_numpy()
-                units = _units(unpacked(batch.column(2)[lo:hi]))
+                vectors = unpacked(batch.column(2)[lo:hi], kind)
                 while len(ids):
                     room = BLOCK - sum(len(h[1]) for h in held)
-                    held.append((key, ids[:room], weight[:room], units[:room]))
-                    ids, weight, units = ids[room:], weight[room:], units[room:]
+                    held.append((key, ids[:room], weight[:room], vectors[:room]))
+                    ids, weight, vectors = ids[room:], weight[room:], vectors[room:]
                     if sum(len(h[1]) for h in held) == BLOCK:
                         yield from flush()
         yield from flush()
@@ -135,7 +149,7 @@ def interval_join(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray,
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _join_blocks(axes: dict[int, np.ndarray], epsilon: float, cosine: float):
+def _join_blocks(axes: dict[int, np.ndarray], epsilon: float, cosine: float, kind: np.dtype):
     """For each pair of blocks: (true, id, links) counts and (false, id, smaller id) stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +157,7 @@ def _join_blocks(axes: dict[int, np.ndarray], epsilon: float, cosine: float):
             for r in batch.to_pylist():
                 ids_a, ids_b = (np.frombuffer(r[f"ids_{s}"], np.int64) for s in "ab")
                 w_a, w_b = (np.frombuffer(r[f"weights_{s}"], np.int64) for s in "ab")
-                a, b = (np.frombuffer(r[f"units_{s}"], np.float64).reshape(-1, r["dims"]) for s in "ab")
+                a, b = (_units(np.frombuffer(r[f"vectors_{s}"], kind).reshape(-1, r["dims"])) for s in "ab")
                 same = r["block_a"] == r["block_b"]
                 axis = axes[r["dims"]]
                 i, j = interval_join(a, b, a @ axis, b @ axis, epsilon, cosine, same)
@@ -172,28 +186,31 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
 
     Returns key, n_links, component_id (smallest key reachable, itself included) and kept, one row per row of input.
     Vectors that are null, empty, zero or hold null or non-finite components, and those under a null label or key,
-    link with nothing; repeated rows count each other as links; an empty table gives no rows.
+    link with nothing. Rows are told apart by more than their key: repeated rows count each other as links, rows that repeat
+    a key with other vectors have links of their own; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "epsilon-grid")
     by = F.col(label) if label else F.lit(0)
-    base = vectors.select(F.col(key).cast("long").alias("id"), by.alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    single = dict(vectors.dtypes)[vector] == "array<float>"  # half the bytes, and the same numbers
+    number = np.dtype(np.float32 if single else np.float64)
+    base = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("id"), by.alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     kind = dict(base.dtypes)["label"]
     epsilon = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine))) or 1e-6
-    rows = base.filter("id is not null and label is not null").mapInArrow(_unit_rows, f"id bigint, label {kind}, vector binary, dims int")
-    rows = scratch.save(rows, "rows")
-    classes = rows.groupBy("label", "vector", "dims").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "label", "vector", "weight", "dims")
+    rows = scratch.save(base.mapInArrow(_vector_rows(number), f"uid bigint, id bigint, label {kind}, vector binary, dims int"), "rows")
+    same = ["label", "vector", "dims"]
+    classes = rows.filter("vector is not null").groupBy(*same).agg(F.min("uid").alias("id"), F.min("id").alias("least"), F.count("*").alias("weight")).select("id", *same[:2], "weight", "dims", "least")
     classes = scratch.save(classes, "classes")
 
     sample = bounded_sample(classes, "id", SAMPLE_ROWS).select("dims", "vector").collect()
-    axes = {d: _axes([r["vector"] for r in sample if r["dims"] == d], d) for d in {r["dims"] for r in sample}}
+    axes = {d: _axes([r["vector"] for r in sample if r["dims"] == d], d, number) for d in {r["dims"] for r in sample}}
     for (d,) in classes.select("dims").distinct().collect():  # lengths that the sample missed
         axes.setdefault(d, np.eye(d)[:, : min(AXES, d)])
 
-    label_type = pa.RecordBatch.from_pylist([], schema=_arrow_schema(classes)).schema.field("label").type
-    ordered = classes.mapInArrow(_cells(axes, epsilon), f"id bigint, label {kind}, vector binary, weight bigint, dims int, cells binary").repartitionByRange("label", "dims", "cells", "id").sortWithinPartitions("label", "dims", "cells", "id")
+    label_type = _arrow_schema(classes).field("label").type
+    ordered = classes.drop("least").mapInArrow(_cells(axes, epsilon, number), f"id bigint, label {kind}, vector binary, weight bigint, dims int, cells binary").repartitionByRange("label", "dims", "cells", "id").sortWithinPartitions("label", "dims", "cells", "id")
     blocks = scratch.save(
-        ordered.mapInArrow(_blocks(axes, label_type), f"block bigint, label {kind}, dims int, ids binary, weights binary, units binary, low array<double>, high array<double>"),
+        ordered.mapInArrow(_blocks(axes, label_type, number), f"block bigint, label {kind}, dims int, ids binary, weights binary, vectors binary, low array<double>, high array<double>"),
         "blocks",
     )
     # blocks that share a cell of the first axis, or have adjacent ones, and whose boxes are no further apart than epsilon
@@ -206,25 +223,24 @@ def embedding_near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: s
         lambda z: F.pow(F.greatest(F.lit(0.0), z["low_a"] - z["high_b"], z["low_b"] - z["high_a"]), 2),
     )
     pairs = left.join(right, ["label", "dims", "cell"]).filter("block_a <= block_b").filter(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) <= epsilon * epsilon + 1e-9).select("block_a", "block_b", "dims").distinct()
-    side = lambda s: blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "weights", "units")])
+    side = lambda s: blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "weights", "vectors")])
     spread = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = scratch.save(
-        pairs.repartition(spread).join(side("a"), "block_a").join(side("b"), "block_b").mapInArrow(_join_blocks(axes, epsilon, cosine), "is_count boolean, a bigint, b bigint"),
+        pairs.repartition(spread).join(side("a"), "block_a").join(side("b"), "block_b").mapInArrow(_join_blocks(axes, epsilon, cosine, number), "is_count boolean, a bigint, b bigint"),
         "found",
     )
     counts = found.filter("is_count").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     labels = connected_components(found.filter("not is_count").select("a", "b"), scratch)
 
-    named = classes.select(F.col("id").alias("rep"), "label", "vector", "weight", "dims")
-    per_class = named.join(counts, "rep", "left").join(labels, named["rep"] == labels["id"], "left").select(
-        "label", "vector", "dims", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
-    linked = rows.join(per_class, ["label", "vector", "dims"]).select("id", "n_links", "component_id").dropDuplicates(["id", "n_links", "component_id"])
-    every = vectors.select(F.col(key).alias("key"), F.col(key).cast("long").alias("id0"))
-    own = F.coalesce("component_id", "id0")
-    return every.join(linked, every["id0"] == linked["id"], "left").select(
-        F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id0") == own, F.lit(False)).alias("kept")
-    )
+    named = classes.withColumnRenamed("id", "rep").join(counts, "rep", "left")
+    named = named.join(labels, named["rep"] == labels["id"], "left").select(*same, "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = scratch.save(named, "named")
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    per_class = named.join(smallest, "component").select(*same, "n_links", "component_id")
+    linked = rows.filter("vector is not null").join(per_class, same).select("id", "n_links", "component_id")
+    alone = rows.filter("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return linked.unionByName(alone).select(F.col("id").cast(dict(vectors.dtypes)[key]).alias(key), "n_links", "component_id", kept.alias("kept"))
 
 
 def _arrow_schema(df: DataFrame) -> pa.Schema:

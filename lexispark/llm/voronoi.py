@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import Scratch, bounded_sample, table
 from lexispark.llm.vectors import matrix_rows, packed, runs, unpacked
 
-PIVOTS = 48
+PIVOTS, MOST_PIVOTS, ROWS_PER_PIVOT = 48, 1_024, 65_536
 SAMPLE_ROWS = 4_096
 QUERY_BLOCK = 256
 DATA_BLOCK = 1_024
@@ -21,12 +21,12 @@ DATA_BLOCK = 1_024
 def _scaled_rows(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, is_query, vectors = batch.columns
+            uid, ids, is_query, vectors = batch.columns
             for rows, values in matrix_rows(vectors):
                 values = np.floor(values * scale)
                 take = pa.array(rows)
-                columns = [ids.take(take), is_query.take(take), packed(values), pa.array((values * values).sum(1)), pa.array(np.full(len(rows), values.shape[1], np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "is_query", "vector", "norm2", "dims"])
+                columns = [uid.take(take), ids.take(take), is_query.take(take), packed(values), pa.array((values * values).sum(1)), pa.array(np.full(len(rows), values.shape[1], np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "is_query", "vector", "norm2", "dims"])
 
     return run
 
@@ -69,12 +69,12 @@ class Space:
 def _assign(spaces: dict[int, Space], query: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy()
+            dims = batch.column(3).to_numpy()
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
                 space = spaces[int(d)]
-                cell, far = space.nearest(space.lift(unpacked(part.column(1)), query))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(far)], ["id", "vector", "dims", "cell", "far"])
+                cell, far = space.nearest(space.lift(unpacked(part.column(2)), query))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(far)], ["uid", "id", "vector", "dims", "cell", "far"])
 
     return run
 
@@ -103,27 +103,27 @@ def _blocks(most: int):
         from pyspark import TaskContext
 
         number, held = TaskContext.get().partitionId() << 32, []
-        names = ["block", "dims", "cell", "near", "far", "ids", "vectors"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+        names = ["block", "dims", "cell", "near", "far", "uids", "ids", "vectors"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, held
             if held:
                 far = np.concatenate([h[2] for h in held])
-                values = [number, *held[0][0], far.min(), far.max(), np.concatenate([h[1] for h in held]).tobytes(), b"".join(v for h in held for v in h[3])]
+                values = [number, *held[0][0], far.min(), far.max(), np.concatenate([h[4] for h in held]).tobytes(), np.concatenate([h[1] for h in held]).tobytes(), b"".join(v for h in held for v in h[3])]
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], names)
                 number, held = number + 1, []
 
         for batch in batches:
-            ids, dims, cell, far = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
-            vectors = batch.column(1).to_pylist()
+            uid, ids, dims, cell, far = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
+            vectors = batch.column(2).to_pylist()
             for lo, hi in runs(dims, cell):
                 key = (int(dims[lo]), int(cell[lo]))
                 if held and held[0][0] != key:
                     yield from flush()
                 while lo < hi:
                     step = min(hi - lo, most - sum(len(h[1]) for h in held))
-                    held.append((key, ids[lo : lo + step], far[lo : lo + step], vectors[lo : lo + step]))
+                    held.append((key, ids[lo : lo + step], far[lo : lo + step], vectors[lo : lo + step], uid[lo : lo + step]))
                     lo += step
                     if sum(len(h[1]) for h in held) == most:
                         yield from flush()
@@ -155,11 +155,21 @@ def _needed(spaces: dict[int, Space], summary: dict[int, list[tuple[int, float]]
     return run
 
 
+_exact = np.vectorize(int, otypes=[object])
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles while every partial sum fits 53 bits, else in 64-bit integers."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]) < 2.0**53:
+    """Exact integer inner products, in doubles while every partial sum fits 53 bits, else in 64-bit integers, else in
+    integers of any size, of which those beyond 64 bits count as the largest (or smallest) that fits."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if bound < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if bound < 2.0**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)), np.int64)
+    most = (1 << 63) - 1
+    return np.clip(_exact(a) @ _exact(b).T, -most, most).astype(np.int64)
 
 
 def _solve(k: int):
@@ -168,41 +178,44 @@ def _solve(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                qid, cid = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                order = np.argsort(cid, kind="stable")
-                cid = cid[order]
+                quid, cuid, qid, cid = (np.frombuffer(r[name], np.int64) for name in ("q_uids", "uids", "q_ids", "ids"))
+                order = np.lexsort((cuid, cid))
+                cid, cuid = cid[order], cuid[order]
                 score = _product(np.frombuffer(r["q_vectors"], np.float64).reshape(-1, r["dims"]), np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dims"])[order])
-                other = qid[:, None] != cid[None, :]
+                other = quid[:, None] != cuid[None, :]
                 rank = np.where(other, score, np.iinfo(np.int64).min + 1)  # its negative exists too
                 # a stable sort of the negated score keeps the smaller id first among ties
-                top = np.argsort(-rank, axis=1, kind="stable")[:, :k] if rank.shape[1] > k else np.argsort(-rank, axis=1, kind="stable")
+                top = np.argsort(-rank, axis=1, kind="stable")[:, :k]
                 row = np.arange(len(qid))[:, None]
                 keep = other[row, top].ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid, top.shape[1])[keep]), pa.array(cid[top].ravel()[keep]), pa.array(score[row, top].ravel()[keep])], ["query_id", "vec_id", "score"]
-                )
+                wide = top.shape[1]
+                columns = [np.repeat(quid, wide), np.repeat(qid, wide), cuid[top].ravel(), cid[top].ravel(), score[row, top].ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["query", "query_id", "uid", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of floor(scale * x) for every query row.
 
-    Rows are assigned to the nearest of a fixed number of pivots (from a bounded sample; results don't depend on it)
-    and stored as blocks of rows at similar distances. Summaries of the cells bound each query block's k-th
+    Rows are assigned to the nearest of the pivots (from a bounded sample, one for 65,536 rows, at least 48 and at most 1,024;
+    results don't depend on them) and stored as blocks of rows at similar distances. Summaries of the cells bound each query block's k-th
     distance, and only blocks with a ring inside that bound are joined to it; every other pair is
     skipped as provably worse. Blocks have a fixed size, so a cell with any share of the rows is many tasks.
 
     Rows that are null, empty or hold null or non-finite components, or with a null key, take no part, and rows are
-    compared with rows of their length. A query's own key is left out; ties go to the smaller key; repeated rows
-    count as one candidate; with fewer than k candidates all are returned; an empty table gives no rows.
+    compared with rows of their length. Every row but the query itself is a candidate, so repeated rows find each other and rows
+    that repeat a key have a list each; ties go to the smaller key; with fewer than k candidates all are returned; an
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "voronoi")
-    base = vectors.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null")
-    rows = scratch.save(base.mapInArrow(_scaled_rows(scale), "id bigint, is_query boolean, vector binary, norm2 double, dims int"), "rows")
-    most = {r["dims"]: r["most"] for r in rows.groupBy("dims").agg(F.max("norm2").alias("most")).collect()}
-    sample = bounded_sample(rows, "id", SAMPLE_ROWS).select("dims", "vector").collect()
+    base = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null")
+    rows = scratch.save(base.mapInArrow(_scaled_rows(scale), "uid bigint, id bigint, is_query boolean, vector binary, norm2 double, dims int"), "rows")
+    counted = rows.groupBy("dims").agg(F.max("norm2").alias("most"), F.count("*").alias("rows")).collect()
+    most = {r["dims"]: r["most"] for r in counted}
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, sum(r["rows"] for r in counted) // ROWS_PER_PIVOT))
+    sample = bounded_sample(rows, "uid", SAMPLE_ROWS).select("dims", "vector").collect()
     spaces: dict[int, Space] = {}
     for d, largest in most.items():
         mine = [r["vector"] for r in sample if r["dims"] == d] or [np.zeros(d).tobytes()]
@@ -210,8 +223,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
         space.pivots = _pivots(space.lift(np.frombuffer(b"".join(mine), np.float64).reshape(-1, d), False), pivots)
         spaces[d] = space
 
-    assigned = "id bigint, vector binary, dims int, cell int, far double"
-    data = scratch.save(rows.select("id", "vector", "dims").dropDuplicates(["id", "vector"]).mapInArrow(_assign(spaces, False), assigned), "data")
+    assigned = "uid bigint, id bigint, vector binary, dims int, cell int, far double"
+    data = scratch.save(rows.select("uid", "id", "vector", "dims").mapInArrow(_assign(spaces, False), assigned), "data")
     close = data.select("dims", "cell", "far").mapInArrow(_closest(k + 1), "dims int, cell int, far double")
     nearest = Window.partitionBy("dims", "cell").orderBy("far")
     bounded = close.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k + 1).select("dims", "cell", "far").collect()
@@ -219,19 +232,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vec
     for r in bounded:
         summary.setdefault(r["dims"], []).append((r["cell"], r["far"]))
 
-    shape = "block bigint, dims int, cell int, near double, far double, ids binary, vectors binary"
-    order = ["dims", "cell", "far", "id"]
+    shape = "block bigint, dims int, cell int, near double, far double, uids binary, ids binary, vectors binary"
+    order = ["dims", "cell", "far", "uid"]
     data_blocks = scratch.save(data.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(DATA_BLOCK), shape), "data-blocks")
-    asked = rows.filter("is_query").select("id", "vector", "dims").dropDuplicates(["id", "vector"]).mapInArrow(_assign(spaces, True), assigned)
+    asked = rows.filter("is_query").select("uid", "id", "vector", "dims").mapInArrow(_assign(spaces, True), assigned)
     asked = asked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(QUERY_BLOCK), shape)
-    query_blocks = scratch.save(asked.select(F.col("block").alias("q_block"), "dims", F.col("cell").alias("q_cell"), F.col("far").alias("radius"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
+    query_blocks = scratch.save(asked.select(F.col("block").alias("q_block"), "dims", F.col("cell").alias("q_cell"), F.col("far").alias("radius"), F.col("uids").alias("q_uids"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "query-blocks")
 
     rings = query_blocks.select("q_block", "dims", "q_cell", "radius").mapInArrow(_needed(spaces, summary, k), "q_block bigint, dims int, cell int, lo double, hi double")
     pairs = rings.join(data_blocks.select("block", "dims", "cell", "near", "far"), ["dims", "cell"]).filter("far >= lo and near <= hi").select("q_block", "block")
     spread = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    work = pairs.repartition(spread).join(data_blocks.select("block", "ids", "vectors"), "block").join(query_blocks.select("q_block", "q_ids", "q_vectors", "dims"), "q_block")
-    local = work.select("dims", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(_solve(k), "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    work = pairs.repartition(spread).join(data_blocks.select("block", "uids", "ids", "vectors"), "block").join(query_blocks.select("q_block", "q_uids", "q_ids", "q_vectors", "dims"), "q_block")
+    local = work.select("dims", "q_uids", "q_ids", "q_vectors", "uids", "ids", "vectors").mapInArrow(_solve(k), "query bigint, query_id bigint, uid bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

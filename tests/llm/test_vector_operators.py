@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import Scratch
 from lexispark.llm.components import connected_components, spanning_stars
 from lexispark.llm.epsilon_grid import embedding_near_duplicates, interval_join
-from lexispark.llm.voronoi import top_k
+from lexispark.llm.voronoi import _product, top_k
 from tests.llm.fixtures import components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, block int, cell int, far double, vector string"
@@ -49,6 +49,25 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rows_that_repeat_a_key(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.2]
+    rows = [(1, x, 0), (1, x, 0), (2, [1.0, 0.1, 0.0], 0), (3, y, 0), (3, None, 0), (3, x, 1), (20, y, 0), (20, x, 0), (None, x, 0)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = Counter(map(tuple, embedding_near_duplicates(made).collect()))
+    assert got == Counter([(1, 3, 1, True)] * 2 + [(2, 3, 1, False), (3, 1, 3, True), (3, 0, 3, True), (3, 0, 3, True), (20, 1, 3, False), (20, 3, 1, False), (None, 0, None, False)])
+    lists = Counter(map(tuple, top_k(made, F.col("vec_id") % 20 == 0, 3).collect()))
+    # floor(64 * 0.2) = 12, floor(64 * 0.1) = 6
+    one = [(20, 1, 3, 4240), (20, 2, 2, 384), (20, 3, 1, 0)]
+    two = [(20, 1, 1, 4096), (20, 2, 1, 4096), (20, 3, 2, 4096)]
+    assert lists == Counter(one + two)
+
+
+def test_products_beyond_64_bits():
+    a = np.array([[2.0**40, -(2.0**40)], [3.0, 2.0**70]])
+    assert _product(a, a).tolist() == [[(1 << 63) - 1, -(1 << 63) + 1], [-(1 << 63) + 1, (1 << 63) - 1]]
+    assert _product(a[:1] / 2**15, a[:1] / 2**15).tolist() == [[2**51]]
+
+
 def test_interval_join_skips_only_distant_blocks():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 6))
