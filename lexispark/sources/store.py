@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.errors import IndexNotFoundError
+from lexispark.errors import IndexNotFoundError, SearchError
 from lexispark.mapping import Mapping
 from lexispark.plans.view import View
 
@@ -27,7 +27,12 @@ class Files:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._io = jvm.org.apache.commons.io.IOUtils
         self.folder = folder.rstrip("/")
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.folder).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+        self._overwrite[0] = rename.OVERWRITE
 
     def at(self, name: str):
         return self._path(f"{self.folder}/{name}")
@@ -43,17 +48,14 @@ class Files:
             stream.close()
 
     def replace(self, name: str, text: str) -> None:
-        """Written aside, then renamed over the old file: readers see the old text or the new one."""
-        pending = self.at(f".pending-{name}")
+        """Written aside, then renamed over the old file in one step: readers see the old text or the new one, always one of them."""
+        pending = self.at(f".pending-{uuid.uuid4().hex}")
         stream = self._fs.create(pending, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self._fs.exists(self.at(name)):
-            self._fs.delete(self.at(name), False)
-        if not self._fs.rename(pending, self.at(name)):
-            raise OSError(f"can't replace {name}")
+        self._context.rename(pending, self.at(name), self._overwrite)
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self.at(name) if name else self._path(self.folder), True)
@@ -65,16 +67,24 @@ class Files:
 _fallback: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, named by spark.checkpoint.dir; a temporary one where driver and executors are
+    one process. A cluster without a shared folder is refused: executors would write to disks of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise SearchError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _fallback:
+        path = tempfile.mkdtemp(prefix="lexispark-")
+        atexit.register(shutil.rmtree, path, True)
+        _fallback.append(f"file://{path}")
+    return _fallback[0]
+
+
 def own_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; below a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not _fallback:
-            path = tempfile.mkdtemp(prefix="lexispark-")
-            atexit.register(shutil.rmtree, path, True)
-            _fallback.append(f"file://{path}")
-        named = _fallback[0]
-    return f"{named.rstrip('/')}/index-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
 
 
 _TEXT_POSTINGS = "_shard int, _doc long, term string, tf int, len int, positions array<int>"
