@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.sources.store import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,44 +21,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _own_folder() -> str:
-    path = tempfile.mkdtemp(prefix="lexispark-")
-    atexit.register(shutil.rmtree, path, True)
-    return f"file://{path}"
-
-
-_fallback: list[str] = []
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set (local runs and tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append(_own_folder())
-    return _fallback[0]
-
-
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor never costs more than the stage it ran."""
+    """Tables written to the shared folder, so that a lost executor never costs more than the stage it ran.
+
+    They stay as long as a result may still read them: until the enclosing ``temporary_tables`` ends, else until the
+    driver does.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Remove a table that no later plan reads."""
+    def drop(self, name: str = "") -> None:
+        """Remove a table that no later plan reads, or all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_made: list[Scratch] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Remove the scratch tables of all operators called inside; their results must be written before the block ends."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _made.pop().drop()
+
+
+def _clear() -> None:
+    while _made:
+        made = _made.pop()
+        if made.spark.sparkContext._jsc is not None:  # the session still runs
+            made.drop()
+
+
+atexit.register(_clear)
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of a text column, counted: the planner's figure is that of compressed files, or a guess after joins."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

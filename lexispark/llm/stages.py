@@ -14,43 +14,62 @@ from lexispark.llm.secrets import redact_secrets
 
 REJECT_BELOW = 0.3
 NEAR_PERCENT = 80
+ROW = "__row"
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """With a column that names a row: its doc_id (null last) and a hash of its text. Rows that agree in both are one document."""
+    return docs.withColumn(ROW, F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.xxhash64("text").alias("hash")))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; documents without a doc_id can't be judged and stay."""
-    scores = score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.filter(F.col("score") < REJECT_BELOW).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Documents that the quality classifier doesn't reject.
+
+    Each row is judged by its own text, null and empty ones and rows that repeat a doc_id or have none included; repeated
+    rows share their fate; an empty table gives no rows. Without labels nothing is rejected.
+    """
+    scores = score_quality(docs, table(spark, sf_dir, "labels"), with_hash=True)
+    rejected = scores.filter(F.col("score") < REJECT_BELOW).select(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("text_hash").alias("hash")).alias(ROW)).distinct()
+    return _marked(docs).join(rejected, ROW, "left_anti").select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, the one with the smallest doc_id; repeated rows become one.
+    """One document of each component of near-duplicates, the one with the smallest doc_id (null last, then by text).
 
-    Documents without a doc_id stay.
+    Rows that repeat doc_id and text become one, rows that repeat a doc_id only are judged by their texts. Documents without
+    words stay, repeated ones too; an empty table gives no rows.
     """
-    found = near_duplicates(docs, percent=NEAR_PERCENT)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    marked = _marked(docs)
+    found = near_duplicates(marked.select(ROW, "text"), key=ROW, percent=NEAR_PERCENT)
+    gone = found.filter(~F.col("kept")).select(ROW).distinct()
+    repeated = found.filter("kept and n_shingles > 0").groupBy(ROW).agg(F.count("*").alias("rows")).filter("rows > 1").select(ROW)
+    left = marked.join(gone, ROW, "left_anti")
     # repeated rows are rare; only they pass through the aggregation
-    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    once = left.join(repeated, ROW, "left_semi").dropDuplicates([ROW])
+    return left.join(repeated, ROW, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced by a mark."""
+    """All documents; secrets in their texts are replaced by a mark.
+
+    Rows without secrets, null and empty texts among them, and repeated rows pass as they are; an empty table gives no rows.
+    """
     return redact_secrets(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; those that it doesn't take are left out.
 
-    Documents without a doc_id are told apart by nothing, so the mix counts them and takes all or none.
+    A document is its doc_id, text and source; rows that agree in all three are taken together, rows that share a doc_id
+    each for themselves. Documents without words come as often as their source is certain to; an empty table gives no rows.
     """
-    copies = mix_sources(docs).select("doc_id", "copies").filter("copies > 0").dropDuplicates(["doc_id"])
-    taken = docs.join(copies.withColumnRenamed("doc_id", "taken_id").withColumnRenamed("copies", "taken_copies"), docs["doc_id"].eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("taken_copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies")))).select(*docs.columns)
+    marked = _marked(docs)
+    taken = mix_sources(marked, key=ROW).filter("copies > 0").groupBy(ROW, "source").agg(F.max("copies").alias("copies"))
+    taken = taken.select(F.col(ROW).alias("taken_row"), F.col("source").alias("taken_source"), F.col("copies").alias("taken_copies"))
+    own = marked.alias("own").join(taken, (F.col(f"own.{ROW}") == F.col("taken_row")) & F.col("own.source").eqNullSafe(F.col("taken_source")))
+    return own.withColumn("taken_copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies")))).select(*[F.col(f"own.{c}") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the mix; a document taken twice is packed twice."""
+    """Token sequences of the mix; a document taken twice is packed twice, null texts as empty ones; no rows for no documents."""
     return pack_documents(docs, default_tokenizer())

@@ -125,3 +125,45 @@ def by_sequence(rows):
     for r in rows:
         out[r["sequence_id"]].append((r["offset"], r["length"]))
     return out
+
+
+def signed_hash(text):
+    """What Spark's xxhash64 gives for a string."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mixed_copies(rows, seed="mix-1"):
+    """Copies of each row (name, sort key, source, size): whole ones, then the Pareto sample, then the closing row."""
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r[3] for r in rows if r[2] == s) for s in names}
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    left, open_, target = sum(size.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * level > 3 * size[s]]
+        for s in full or open_.copy():
+            target[s] = 3.0 * size[s] if full else weight[s] * level
+            open_.discard(s)
+            left -= target[s] if full else 0
+    out = {}
+    for s in names:
+        mine = [r for r in rows if r[2] == s]
+        whole = int(target[s] // size[s]) if size[s] else 0
+        rest = target[s] - whole * size[s]
+
+        def rank(r):
+            u = (int(hashlib.md5(f"{r[0]}/{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+            return (u / (1 - u) / r[3] if r[3] else float("inf"), r[1])
+
+        taken, drawn = 0, set()
+        for r in sorted(mine, key=rank):
+            if taken + r[3] > rest:
+                break
+            taken += r[3]
+            drawn.add(r[0])
+        gap = rest - taken
+        others = [(abs(gap - r[3]), rank(r), r[0]) for r in mine if r[0] not in drawn and r[3] and abs(gap - r[3]) < gap]
+        drawn |= {min(others)[2]} if others else set()
+        out |= {(r[0], s): whole + (r[0] in drawn) for r in mine}
+    return out

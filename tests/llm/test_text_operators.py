@@ -12,7 +12,7 @@ from lexispark.llm.mixing import mix_sources
 from lexispark.llm.substring import factor, substring_dedup
 from lexispark.llm.suffixes import repeated_bytes_dedup
 from lexispark.llm.tokens import encoder
-from tests.llm.fixtures import SCHEMA, by_sequence, components, corpus, docs_of, near_links, prose, removed_bytes, removed_words, words
+from tests.llm.fixtures import SCHEMA, by_sequence, components, corpus, docs_of, mixed_copies, near_links, prose, removed_bytes, removed_words, signed_hash, words
 
 
 @pytest.fixture(scope="module")
@@ -294,7 +294,7 @@ def test_pairs_carry_interactions():
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.97
 
 
-def test_pipeline_steps_keep_columns_and_clean_rows(spark, docs, rows, tmp_path):
+def test_pipeline_steps_keep_columns_and_clean_rows(spark, docs, rows, empty, tmp_path):
     labels = spark.createDataFrame([(0, 1), (9, 1)], "doc_id long, quality int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     good = stages.keep_good(spark, docs, str(tmp_path))
@@ -302,7 +302,68 @@ def test_pipeline_steps_keep_columns_and_clean_rows(spark, docs, rows, tmp_path)
     left = stages.keep_one_of_each(spark, docs, str(tmp_path))
     kept = Counter(r["doc_id"] for r in left.collect())
     assert left.columns == docs.columns
-    assert kept[5] == 1 and kept[None] == 1 and not {1, 2, 21, 10, 20} & set(kept) and {0, 4, 6, 7, 8, 9} <= set(kept)
+    # the row without a doc_id is a copy of document 0
+    assert kept[5] == 1 and not {1, 2, 21, 10, 20, None} & set(kept) and {0, 4, 6, 7, 8, 9} <= set(kept)
     mixed = stages.mixed(spark, docs, str(tmp_path))
     assert mixed.columns == docs.columns
     assert stages.packed(spark, docs, str(tmp_path)).count() >= len(rows)
+    for stage in (stages.keep_good, stages.keep_one_of_each, stages.without_secrets, stages.mixed, stages.packed):
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_a_doc_id_are_told_apart(spark, tmp_path):
+    rng = random.Random(6)
+    one, two, three = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    rows = [(5, one, "a"), (5, two, "b"), (5, one, "a"), (None, three, "a"), (None, one, "b"), (7, two, "a"), (8, None, "a"), (8, None, "a")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    left = stages.keep_one_of_each(spark, made, str(tmp_path)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, left)) == Counter([(5, one), (5, two), (None, three), (8, None), (8, None)])
+    # the good row that shares its doc_id with a bad one stays
+    bad = " ".join("$" + w + "$$" for w in one.split())
+    docs = [(i, prose(rng, 30), "a") for i in range(300)] + [(1000 + i, " ".join("$" + w + "$$" for w in prose(rng, 30).split()), "a") for i in range(300)]
+    labels = [(r[0], int(r[0] < 1000)) for r in docs]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs += [(5000, one, "a"), (5000, bad, "a"), (None, bad, "b"), (None, two, "b")]
+    good = stages.keep_good(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), str(tmp_path)).collect()
+    assert {r["text"] for r in good if r["doc_id"] in (5000, None)} == {one, two} and len(good) == 302
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        text = prose(rng, rng.randrange(5, 90))
+        if i % 5 == 0 and i:
+            text = rows[i - 3][1] + " more"  # near copies of longer texts
+        if i % 7 == 0:
+            text += " my password = hunter2secret here"
+        rows.append((i, text, "en", rng.choice(["s0", "s1", None]), len(text)))
+    rows += [(70, None, "en", "s0", 0), (None, rows[4][1], "en", "s1", 5), (5, prose(rng, 20), "en", "s2", 9), (8, rows[8][1], "en", rows[8][3], 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    # labels of one kind reject nothing; one row of every component stays, by doc_id (null last), then by hash of the text
+    _, links = near_links(rows, 80)
+    named = lambda r: (r[0] is None, r[0] or 0, signed_hash(r[1] or ""))
+    comp = components(range(len(rows)), links)
+    chosen = {}
+    for i, c in comp.items():
+        if c not in chosen or named(rows[i]) < named(rows[chosen[c]]):
+            chosen[c] = i
+    left = [rows[i] for i in chosen.values()]
+    assert len(left) < len(rows) - 5
+    clean = [(r[0], secrets.ASSIGN.sub("[SECRET]", r[1]) if r[1] else r[1], r[3]) for r in left]
+    assert sum("[SECRET]" in (t or "") for _, t, _ in clean) >= 5
+    text = lambda k: "null" if k is None else str(k)
+    name = lambda k, t: f"{{{str(k is None).lower()}, {text(k)}, {signed_hash(t) if t is not None else 42}}}"
+    copies = mixed_copies([(name(k, t), (k is None, k or 0), s, len(words(t))) for k, t, s in clean])
+    full, expected = encoder(packing.default_tokenizer()).full, Counter()
+    for k, t, s in clean:
+        ids = [*full.encode(t or "", add_special_tokens=False).ids, 2]
+        assert len(ids) <= 1024
+        expected[k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += copies[name(k, t), s]
+    assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == +expected
+    for members in by_sequence(got).values():
+        assert sum(n for _, n in members) <= 1024 and sorted(o for o, _ in members)[0] == 0
