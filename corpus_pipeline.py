@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm import stages
-from lexispark.llm.common import Scratch, table
+from lexispark.llm.common import Scratch, table, temporary_tables
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", stages.keep_good),
@@ -26,7 +26,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. Nulls, repeated rows and empty tables are treated as each stage's docstring says; what a stage
+    wrote for itself and the stage before it left goes as soon as its result is written."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    before = ""
     for number, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{number}-{name}")
+        with temporary_tables():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"{number}-{name}")
+        if before:
+            scratch.drop(before)
+        before = f"{number}-{name}"
     return docs
