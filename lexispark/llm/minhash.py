@@ -16,8 +16,10 @@ WIDTH = 5
 COORDINATES = 128
 BAND = 4
 SLICE_BYTES = 3 << 20
-#: Pairs whose sketches agree on this much less than the threshold are still confirmed; six standard deviations or so.
-SLACK = 0.2
+#: Members of a bucket that meet in one task; larger buckets are compared part by part.
+PART = 2_048
+#: Partners of one hub whose sets are compared in one task.
+FAN = 1_024
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -127,29 +129,28 @@ def _set_rows(width: int):
     return run
 
 
-def _cross_pairs(least: float):
-    """Pairs of a bucket from different components whose sketches agree on ``least`` of the coordinates.
+def _cross_pairs(percent: int):
+    """Pairs of one part of a bucket from different components whose sizes allow the similarity.
 
-    The largest component isn't compared within itself: each other member meets all members, a block at a time.
+    A pair comes from the first band that both share and from no other.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        uid, component = group["uid"].to_numpy(), group["component"].to_numpy()
-        flat = group["bands"].combine_chunks()
-        flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-        short = flat.flatten().to_numpy().view(np.uint16).reshape(len(uid), -1)
-        names, of = np.unique(component, return_inverse=True)
-        main = np.bincount(of).argmax()
-        a, b = [], []
-        for i in np.flatnonzero(of != main):
-            near = np.flatnonzero(of != of[i])
-            for lo in range(0, len(near), 4096):
-                block = near[lo : lo + 4096]
-                hit = block[(short[block] == short[i]).mean(1) >= least]
-                hit = hit[(of[hit] == main) | (uid[hit] > uid[i])]
-                a += [int(uid[i])] * len(hit)
-                b += uid[hit].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        group = group.combine_chunks()
+        uid, component, part, n = (group[c].to_numpy() for c in ("uid", "component", "part", "n"))
+        low, high, at = (group[c][0].as_py() for c in ("low", "high", "at"))
+        bands = group["bands"].combine_chunks() if isinstance(group["bands"], pa.ChunkedArray) else group["bands"]
+        bands = (bands if isinstance(bands, pa.Array) else pa.concat_arrays(bands.chunks)).flatten().to_numpy().reshape(len(uid), -1)
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        a, b = [uid[:0]], [uid[:0]]
+        for i in left.tolist():
+            others = right[right > i] if low == high else right
+            others = others[(component[others] != component[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent)]
+            if len(others) and at:
+                others = others[~(bands[others, :at] == bands[i, :at]).any(1)]
+            a.append(np.full(len(others), uid[i]))
+            b.append(uid[others])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
     return run
 
@@ -159,8 +160,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Equal sets are one class from the start, whatever their number, and only a class's first row goes on. Bands
     of its sketch propose pairs; in a bucket everyone is first compared with one hub, and what the
-    hubs' links leave in different components is compared by sketch, then exactly. No bucket is cut short, and pairs
-    within one component are never emitted. A link is confirmed on the full sets of 64-bit shingle hashes.
+    hubs' links leave in different components is compared in turn, all of it, larger buckets in parts of ``PART`` members. No
+    bucket is cut short, and pairs within one component are never emitted. A link is confirmed on the full sets of
+    64-bit shingle hashes; a hub with many partners meets them in several tasks.
 
     With 32 bands of 4 coordinates a pair at the threshold 0.85 fails to meet in any bucket with a chance of 6e-11, at
     0.8 of 5e-8. Returns key, n_shingles, component_id (the smallest key reachable) and kept (key = component_id), one row
@@ -180,7 +182,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = scratch.save(rows.drop("bands").join(classes, same, "left").withColumn("rep", F.coalesce("rep", "uid")), "members")
     reps = rows.filter("n > 0").join(classes.select("rep"), rows["uid"] == F.col("rep"), "left_semi")
 
-    banded = reps.select("uid", F.posexplode("bands").alias("at", "value")).select("uid", F.xxhash64("at", "value").alias("band"))
+    banded = reps.select("uid", F.posexplode("bands").alias("at", "value")).select("uid", "at", F.xxhash64("at", "value").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("uid").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     buckets = scratch.save(banded.join(hubs, "band"), "buckets")
 
@@ -195,18 +197,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         left = sets.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
         right = sets.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
         slim = pairs.join(left.drop("ia"), "a").join(right.drop("ib"), "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-        both = slim.join(left, "a").join(right, "b")
+        # the set of an element with many partners goes to as many tasks as it takes
+        fan = slim.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > FAN).select(F.col("a").alias("hub"), F.ceil(F.col("n") / FAN).cast("int").alias("parts"))
+        spread = slim.join(fan, slim["a"] == fan["hub"], "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("salt"))
+        copies = left.join(fan, left["a"] == fan["hub"], "left").select("a", "na", "ia", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        both = spread.join(copies, ["a", "salt"]).drop("salt").join(right, "b")
         common = F.size(F.array_intersect("ia", "ib"))
         return both.withColumn("common", common).filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
     first = scratch.save(confirm(buckets.filter("uid != hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()), "links1")
     labels = connected_components(first, scratch, "first")
 
-    placed = buckets.drop("hub").join(labels, buckets["uid"] == labels["id"], "left").select("band", "uid", F.coalesce("component", "uid").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band")
-    least = max(0.0, percent / 100 - SLACK)
-    crossing = placed.join(split, "band", "left_semi").join(reps.select("uid", "bands"), "uid")
-    pairs = crossing.groupBy("band").applyInArrow(_cross_pairs(least), "a bigint, b bigint")
+    placed = buckets.drop("hub").join(labels, buckets["uid"] == labels["id"], "left").select("band", "at", "uid", F.coalesce("component", "uid").alias("component"))
+    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("band", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    crossing = placed.join(split, "band").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    crossing = crossing.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "at", "uid", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    crossing = crossing.join(reps.select("uid", "n", "bands"), "uid")
+    pairs = crossing.groupBy("band", "low", "high").applyInArrow(_cross_pairs(percent), "a bigint, b bigint")
     second = scratch.save(confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links2")
     labels = connected_components(first.unionByName(second), scratch, "second")
 

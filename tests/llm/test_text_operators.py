@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexispark.llm import packing, quality, repeats, secrets, sharding, stages, suffixes
+from lexispark.llm import minhash, packing, quality, repeats, secrets, sharding, stages, suffixes
 from lexispark.llm.minhash import near_duplicates, shingle_sets, sketches
 from lexispark.llm.mixing import mix_sources
 from lexispark.llm.substring import factor, substring_dedup
@@ -113,6 +113,26 @@ def test_near_duplicates_against_brute_force(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_links_of_templates_in_small_parts(spark, monkeypatch):
+    """Texts from one template, some linked and many just below: buckets in parts and hubs with a fan find every link."""
+    rng = random.Random(17)
+    frame, rows = prose(rng, 150).split(), []
+    for i in range(160):
+        w = list(frame)
+        for at in rng.sample(range(0, 150, 6), rng.randrange(1, 7)):
+            w[at] = rng.choice(["alpha", "beta", f"x{i}"])
+        rows.append((i, " ".join(w)))
+    sets, links = near_links(rows, 85)
+    comp = components(range(len(rows)), links)
+    assert 300 < len(links) < 6000 and len(set(comp.values())) > 3
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for part, fan in ((2048, 1024), (7, 3)):
+        monkeypatch.setattr(minhash, "PART", part)
+        monkeypatch.setattr(minhash, "FAN", fan)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(made, percent=85).collect()}
+        assert got == comp
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
