@@ -1,12 +1,14 @@
-"""Writes, real-time reads and refresh of one index over an append-only log."""
+"""Writes, real-time reads, refresh, flush and merge of one index: a log of operations, and segments built from it."""
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.errors import MapperParsingError, SearchError, VersionConflictError
@@ -17,6 +19,7 @@ from lexispark.operators.search import Searcher
 from lexispark.plans.view import View
 from lexispark.sources import documents
 from lexispark.sources.bulk import Action
+from lexispark.sources.segments import Segments
 from lexispark.sources.store import Files
 
 PRIMARY_TERM = 1
@@ -33,36 +36,41 @@ class Version:
 class Engine:
     """One index in a folder. Every call's operations are one file set of the log, written before it returns.
 
-    Searches see operations up to the last refresh, gets and version checks see all. Opening an engine on an
-    existing folder continues its log and refreshes.
+    A refresh turns the operations since the last one into a segment (documents, postings, dead documents) that searches read;
+    gets and version checks see all. With ``refresh_interval`` (seconds) a search refreshes first when the last refresh is older.
+    Opening an engine on an existing folder replays what the log holds beyond the segments. A flush
+    removes the part of the log that the segments hold.
     """
 
     spark: SparkSession
     folder: str
     mapping: Mapping
     shards: int = 1
+    refresh_interval: float | None = None
     _next: dict[int, int] = field(default_factory=dict)
-    _visible: dict[int, int] = field(default_factory=dict)
+    _refreshed: float = 0.0
     _recent: dict[str, Version] = field(default_factory=dict)
 
     def __post_init__(self):
         self.files = Files(self.spark, self.folder)
-        self._number()
+        self.segments = Segments(self.spark, self.files, self.mapping, self.shards)
+        self._next = {s: n + 1 for s, n in self.segments.visible.items()}
+        self._number(self.log())
         self.refresh()
 
-    # log -----------------------------------------------------------------------
-
     def log(self) -> DataFrame:
         if not self.files.exists("ops"):
             return self.spark.createDataFrame([], versions.LOG)
         return self.spark.read.schema(versions.LOG).parquet(f"{self.files.folder}/ops")
 
-    def _number(self) -> None:
-        for r in self.log().groupBy("_shard").agg(F.max("_seq_no").alias("m")).collect():
-            self._next[r["_shard"]] = r["m"] + 1
+    def _number(self, rows: DataFrame) -> None:
+        for r in rows.groupBy("_shard").agg(F.max("_seq_no").alias("m")).collect():
+            self._next[r["_shard"]] = max(r["m"] + 1, self._next.get(r["_shard"], 0))
 
-    def _write(self, rows: DataFrame, name: str | None = None) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.files.folder}/ops/part={name or uuid.uuid4().hex}")
+    def _write(self, rows: DataFrame, name: str | None = None) -> str:
+        path = f"{self.files.folder}/ops/part={name or uuid.uuid4().hex}"
+        rows.write.mode("overwrite").parquet(path)
+        return path
 
     def _take(self, shard: int) -> int:
         seq = self._next.get(shard, 0)
@@ -72,7 +80,7 @@ class Engine:
     def append(self, rows: DataFrame, name: str | None = None) -> None:
         """Add a table of writes (_id, _source, and op if some delete) of any size, in the order of its rows.
 
-        Sequence numbers rise with the rows and may have gaps. The same ``name`` again replaces what it wrote before,
+        Sequence numbers rise with the rows and may have gaps, and later reads and version checks see these writes. The same ``name`` again replaces what it wrote before,
         which makes a repeated stream batch harmless. Documents that don't fit the mapping are refused and left out.
         """
         op = F.col("op") if "op" in rows.columns else F.lit("index")
@@ -80,19 +88,25 @@ class Engine:
         numbered = rows.select("_id", "_source", op.alias("op"), (F.monotonically_increasing_id() + base).alias("_seq_no"))
         good = documents.parse(numbered, self.mapping).filter((F.col("op") == "delete") | F.col("_error").isNull())
         out = good.select(routing.shard(F.col("_id"), self.shards).alias("_shard"), "_id", "_seq_no", F.lit(PRIMARY_TERM).cast("long").alias("_primary_term"), "op", F.when(F.col("op") == "index", F.col("_source")).alias("_source"))
-        self._write(out, name)
-        self._number()
-
-    # single documents ------------------------------------------------------------
+        path = self._write(out, name)
+        self._number(self.spark.read.schema(versions.LOG).parquet(path))
+        self._recent = {}  # any of them may be older now
 
     def _versions(self, ids: list[str]) -> dict[str, Version]:
-        """The latest version of each id, from memory for recent writes, else from the log, pruned by shard and id."""
+        """The latest version of each id, from memory for recent writes, else from the log, else from the segments, pruned by shard and id."""
         out = {i: self._recent[i] for i in ids if i in self._recent}
-        rest = sorted({i for i in ids if i not in out})
-        if rest and self.files.exists("ops"):
+
+        def wanted() -> Column | None:
+            rest = sorted({i for i in ids if i not in out})
             shards = sorted({routing.shard_of(i, self.shards) for i in rest})
-            found = versions.latest(self.log().filter(F.col("_shard").isin(shards) & F.col("_id").isin(rest)), live_only=False)
+            return F.col("_shard").isin(shards) & F.col("_id").isin(rest) if rest else None
+
+        if self.files.exists("ops") and wanted() is not None:
+            found = versions.latest(self.log().filter(wanted()), live_only=False)
             out |= {r["_id"]: Version(r["_seq_no"], r["op"], r["_source"]) for r in found.collect()}
+        if self.segments.rows and wanted() is not None:
+            found = self.segments.view(None).docs.filter(wanted()).select("_id", "_seq_no", "_source")
+            out |= {r["_id"]: Version(r["_seq_no"], "index", r["_source"]) for r in found.collect()}
         return out
 
     @staticmethod
@@ -163,42 +177,69 @@ class Engine:
             self._write(self._rows(rows))
         return out
 
-    # reading -------------------------------------------------------------------
-
     def refresh(self) -> None:
-        self._visible = {s: n - 1 for s, n in self._next.items()}
+        """Make all operations so far visible to searches; nothing is done where there are no new ones."""
+        now = {s: n - 1 for s, n in self._next.items()}
+        seen = self.segments.visible
+        if any(n > seen.get(s, -1) for s, n in now.items()):
+            fresh = [(F.col("_shard") == s) & F.col("_seq_no").between(seen.get(s, -1) + 1, n) for s, n in now.items()]
+            pending = f"{self.files.folder}/pending-{uuid.uuid4().hex}"
+            versions.latest(self.log().filter(reduce(lambda a, b: a | b, fresh)), live_only=False).write.parquet(pending)
+            last = self.spark.read.schema(versions.LOG).parquet(pending)
+            self.segments.add(self._documents(last.filter("op = 'index'")), last, now)
+            self.files.delete(pending.rsplit("/", 1)[1])
+            self.segments.tidy()
         self._recent = {}
+        self._refreshed = time.monotonic()
 
-    def _seen(self) -> DataFrame:
-        """The log up to the last refresh."""
-        limits = [(F.col("_shard") == s) & (F.col("_seq_no") <= n) for s, n in self._visible.items()]
-        keep = F.lit(False)
-        for c in limits:
-            keep = keep | c
-        return self.log().filter(keep)
+    def _documents(self, log: DataFrame) -> DataFrame:
+        """Parsed documents; their order is write order."""
+        parsed = documents.parse(log, self.mapping).withColumn("_doc", F.col("_seq_no"))
+        return parsed.select("_shard", "_doc", "_id", "_seq_no", "_source", *self.mapping.fields)
 
     def view(self) -> View:
-        """Live documents as of the last refresh; document order is write order."""
-        live = documents.parse(versions.latest(self._seen()), self.mapping).withColumn("_doc", F.col("_seq_no"))
-        names = list(self.mapping.fields)
-        return View(live.select("_shard", "_doc", "_id", "_seq_no", "_source", *names), self.mapping, self.shards)
+        """Live documents as of the last refresh, with their postings."""
+        if self.refresh_interval is not None and time.monotonic() - self._refreshed >= self.refresh_interval:
+            self.refresh()
+        return self.segments.view(self._documents(self.spark.createDataFrame([], versions.LOG)))
 
     def searcher(self) -> Searcher:
         view = self.view()
         return Searcher(view, view.docs)
 
     def counts(self) -> tuple[int, int]:
-        """Live documents and versions no longer live, as of the last refresh."""
-        row = versions.counts(self._seen()).agg(F.sum("live"), F.sum("deleted")).first()
-        return row[0] or 0, row[1] or 0
+        """Live documents, and dead ones that segments still hold, as of the last refresh."""
+        return self.segments.counts()
 
-    def compact(self, files: int = 1) -> None:
-        """Rewrite the log without superseded versions; numbers go on from the last one."""
-        kept = versions.latest(self.log(), live_only=True).select("_shard", "_id", "_seq_no", "_primary_term", "op", "_source")
-        old = [n for n in Files(self.spark, f"{self.files.folder}/ops").names() if n.startswith("part=")]
-        self._write(kept.coalesce(files))
+    def delete_by_term(self, name: str, term: str) -> int:
+        """Delete the documents, as of now, that hold a term in a field; returns how many. They are found in the postings and
+        deleted by one write, whatever their number."""
+        self.refresh()
+        view = self.view()
+        if view.postings is None:
+            return 0
+        hit = view.posted(False).filter((F.col("field") == name) & (F.col("term") == term)).select("_shard", "_doc")
+        rows = view.docs.join(hit, ["_shard", "_doc"], "left_semi").select("_id", F.lit(None).cast("string").alias("_source"), F.lit("delete").alias("op"))
+        before = self.counts()[0]
+        self.append(rows)
+        self.refresh()
+        return before - self.counts()[0]
+
+    def flush(self) -> None:
+        """Refresh, and remove from the log what the segments hold; numbers go on from the last one."""
+        old = self._parts()
+        self.refresh()
         for name in old:
             self.files.delete(f"ops/{name}")
 
+    def _parts(self) -> list[str]:
+        return [n for n in Files(self.spark, f"{self.files.folder}/ops").names() if n.startswith("part=")] if self.files.exists("ops") else []
+
+    def compact(self, files: int = 1) -> None:
+        """Flush, and merge all segments into one of ``files`` files a table, without the dead. What no state names any more is deleted."""
+        self.flush()
+        self.segments.merge(files=files)
+        self.segments.clear()
+
 
 __all__ = ["Engine", "MapperParsingError"]

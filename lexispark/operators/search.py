@@ -43,10 +43,12 @@ def _ordered(view: View, found: DataFrame, sort: list[SortField] | None) -> Data
     return found.orderBy(*[k.desc_nulls_last() if s.reverse else k.asc_nulls_first() for k, s in zip(keys, sort)], "_shard", "_doc")
 
 
-def top_k(view: View, query: Query, k: int = 10, sort: list[SortField] | None = None) -> DataFrame:
-    """The best k documents; ties go to the lower shard, then to the earlier document."""
+def top_k(view: View, query: Query, k: int = 10, sort: list[SortField] | None = None, digits: int | None = None) -> DataFrame:
+    """The best k documents; ties go to the lower shard, then to the earlier document. ``digits`` rounds scores before ordering."""
     needs_score = not sort or any(s.name == SCORE for s in sort)
-    return _ordered(view, matches(query, view, needs_score), sort).limit(max(1, k))
+    found = matches(query, view, needs_score)
+    found = found.withColumn(SCORE, F.round(SCORE, digits)) if digits is not None and needs_score else found
+    return _ordered(view, found, sort).limit(max(1, k))
 
 
 def with_sort_values(view: View, hits: DataFrame, sort: list[SortField]) -> DataFrame:
@@ -94,9 +96,13 @@ class Searcher:
         request = request or {}
         query = dsl.parse(request.get("query") or {"match_all": {}}, self.view.mapping)
         aggs = dsl.parse_aggregations(request.get("aggs", request.get("aggregations")))
-        k = size if size is not None else int(request.get("size") or 0)
-        k = k if k > 0 else 10
-        found = matches(query, self.view).persist()
+        k = size if size is not None else request.get("size") or 0
+        if not isinstance(k, (int, float)) or isinstance(k, bool):
+            raise QueryParsingError(f"size [{k}] isn't a number")
+        k = int(k) if k > 0 else 10
+        # hits, total and aggregations read the matches once; only keys and aggregated fields are held
+        used = dict.fromkeys(f for _, f, _ in aggs.values() if f in self.view.mapping.fields)
+        found = matches(query, self.view).select("_shard", "_doc", "_id", SCORE, *used).persist()
         try:
             rows = _ordered(self.view, found, None).limit(k).select("_shard", "_doc", "_id", SCORE).collect()
             total = found.count()

@@ -63,8 +63,6 @@ class Compiled:
         self.phrases = list(dict.fromkeys(q for q in walk(query) if isinstance(q, Phrase) and len(q.terms) > 1 and all((q.field, t) in self.number for t in q.terms)))
         self.text_fields = list(dict.fromkeys(f for f, _ in self.scored if view.mapping.fields[f].type == "text"))
 
-    # columns -----------------------------------------------------------------
-
     def count(self, field: str, term: str) -> Column:
         return F.col(f"_tf{self.number[field, term]}")
 
@@ -93,8 +91,6 @@ class Compiled:
         total = F.col(f"_sum_{field}") if field in self.text_fields else F.lit(0)
         return bm25.score(self.count(field, term), self._length(field), F.col("_n"), F.col(f"_df{i}"), total)
 
-    # tree --------------------------------------------------------------------
-
     def match(self, q: Query) -> Column:
         fields = self.view.mapping.fields
         if isinstance(q, MatchAll):
@@ -109,7 +105,7 @@ class Compiled:
             if fields[q.field].type == "text":
                 if self._direct(q.field):
                     return F.trim(F.translate(F.col(q.field), "\t\n\r", "   ")) != ""
-                return F.size(F.filter(self.view.tokens(q.field), lambda t: t.isNotNull())) > 0
+                return self.view.has_tokens(q.field)
             return self.view.value(q.field).isNotNull()
         if isinstance(q, Range) and q.field in fields and fields[q.field].type in ("long", "double"):
             if self.view.is_array(q.field):
@@ -135,8 +131,6 @@ class Compiled:
             return _sum([self.score(c) for c in q.must] + optional)
         return F.lit(1.0)
 
-    # plans -------------------------------------------------------------------
-
     def leaves(self) -> DataFrame:
         """Documents with the counts, lengths and phrase flags that the query's expressions refer to."""
         return self._leaves_from_postings() if self.view.postings is not None else self._leaves_from_texts()
@@ -168,7 +162,7 @@ class Compiled:
         aggregates += [F.max(F.when(F.col("field") == f, F.col("len"))).alias(f"_len_{f}") for f in self.text_fields]
         in_phrase = dict.fromkeys((q.field, t) for q in self.phrases for t in q.terms)
         aggregates += [F.max(F.when(is_term[self.number[t]], F.col("positions"))).alias(f"_pos{self.number[t]}") for t in in_phrase]
-        out = view.postings.filter(wanted).groupBy("_shard", "_doc").agg(*aggregates)
+        out = view.posted(bool(self.phrases)).filter(wanted).groupBy("_shard", "_doc").agg(*aggregates)
         for i, q in enumerate(self.phrases):
             out = out.withColumn(f"_phrase{i}", _at_steps([F.col(f"_pos{self.number[q.field, t]}") for t in q.terms]))
         out = out.drop(*[f"_pos{self.number[t]}" for t in in_phrase])

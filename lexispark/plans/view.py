@@ -18,7 +18,8 @@ class View:
     """``docs`` has _shard, _doc (order within the shard), _id and one column per mapped field.
 
     A column may be a scalar or an array of values. Terms come from every value, the value for sorting, ranges
-    and aggregations is the last one. With ``postings`` the terms are read from there instead of from the texts.
+    and aggregations is the last one. With ``postings`` (blocks, see sources/store.py) the terms are read from there instead of
+    from the texts; ``dead`` (_shard, _doc) are documents that the blocks still hold and ``docs`` doesn't.
     """
 
     docs: DataFrame
@@ -26,7 +27,22 @@ class View:
     shards: int = 1
     postings: DataFrame | None = None
     field_stats: DataFrame | None = None
-    term_stats: DataFrame | None = None
+    dead: DataFrame | None = None
+
+    def posted(self, positions: bool = True) -> DataFrame:
+        """(_shard, field, term, _doc, tf, len, positions), one row per live document and term. Filters on field and term reach
+        the scan of the blocks, and positions are read only when asked for."""
+        names = {"docs": "_doc", "tfs": "tf", "lens": "len"} | ({"positions": "positions"} if positions else {})
+        rows = self.postings.select("_shard", "field", "term", F.inline(F.arrays_zip(*names))).withColumnsRenamed(names)
+        return rows.join(self.dead, ["_shard", "_doc"], "left_anti") if self.dead is not None else rows
+
+    @property
+    def term_stats(self) -> DataFrame:
+        """(_shard, field, term, df) of live documents."""
+        by = ["_shard", "field", "term"]
+        if self.dead is not None:
+            return self.posted(False).groupBy(*by).agg(F.count("*").alias("df"))
+        return self.postings.groupBy(*by).agg(F.sum(F.size("docs")).alias("df"))
 
     @classmethod
     def of_table(cls, table: DataFrame, key: str, properties: dict, shards: int = 1) -> View:
@@ -39,7 +55,7 @@ class View:
 
     def in_one_shard(self) -> View:
         """The same documents with collection-wide statistics."""
-        return replace(self, docs=self.docs.withColumn("_shard", F.lit(0)), shards=1, postings=None, field_stats=None, term_stats=None)
+        return replace(self, docs=self.docs.withColumn("_shard", F.lit(0)), shards=1, postings=None, field_stats=None, dead=None)
 
     def is_array(self, field: str) -> bool:
         return dict(self.docs.dtypes)[field].startswith("array<")
@@ -75,6 +91,11 @@ class View:
             return analysis.value_tokens(self.values(field), analyzer)
         return F.coalesce(analyzer.tokens(F.col(field)), F.array().cast("array<string>"))
 
+    def has_tokens(self, field: str) -> Column:
+        """Whether a text field has a token, from its stored number of tokens where there is one."""
+        stored = f"_tokens_{field}"
+        return F.col(stored) > 0 if stored in self.docs.columns else F.size(F.filter(self.tokens(field), lambda t: t.isNotNull())) > 0
+
     def blanked(self, field: str) -> Column:
         """A text of the standard analyzer with blanks around every token, so that a token is a substring of it."""
         text = analysis.lower_case(F.col(field))

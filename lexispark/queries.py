@@ -55,9 +55,6 @@ PARTS = Source("part", "p_partkey", {"p_name": "text", "p_brand": "keyword", "p_
 EVENTS = Source("events", "event_id", {"event_type": "keyword", "value": "double", "user_id": "long", "props": "text"})
 ORDERS = Source("orders", "o_orderkey", {"o_orderstatus": "keyword", "o_orderpriority": "text", "o_totalprice": "double"})
 
-# SQL of a query tree -----------------------------------------------------------------------
-
-
 class Sql:
     """A second, independent meaning of query trees: SQL over token lists."""
 
@@ -134,9 +131,6 @@ class Sql:
         )
 
 
-# the catalogue -------------------------------------------------------------------------------
-
-
 @dataclass(frozen=True)
 class Search:
     source: Source
@@ -151,11 +145,9 @@ class Search:
         view = self.source.view(spark, sf_dir)
         if self.sort:
             keys = [SortField(n, r) for n, r in self.sort]
-            hits = top_k(view, self.query(), self.k, keys)
-            values = [sort_value(view, n).alias(f"sort_{i}") if n != "_score" else F.round("_score", 6).alias(f"sort_{i}") for i, (n, _) in enumerate(self.sort)]
-            return hits.select(F.col("_doc").alias("doc"), *values)
-        found = matches(self.query(), view).select(F.col("_doc").alias("doc"), F.round("_score", 6).alias("score"))
-        return found.orderBy(F.desc("score"), "doc").limit(self.k)
+            hits = top_k(view, self.query(), self.k, keys, digits=6)
+            return hits.select(F.col("_doc").alias("doc"), *[sort_value(view, n).alias(f"sort_{i}") for i, (n, _) in enumerate(self.sort)])
+        return top_k(view, self.query(), self.k, digits=6).select(F.col("_doc").alias("doc"), F.col("_score").alias("score"))
 
     def sql(self) -> str:
         made = Sql(self.source, self.query())

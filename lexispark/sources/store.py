@@ -8,10 +8,13 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.errors import IndexNotFoundError, SearchError
@@ -87,67 +90,89 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
 
 
-_TEXT_POSTINGS = "_shard int, _doc long, term string, tf int, len int, positions array<int>"
+_BLOCK = "_shard int, term string, docs array<bigint>, tfs array<int>, lens array<int>, positions array<array<int>>"
+BLOCKS = f"{_BLOCK}, field string"
 
 
-def _grouped_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of token arrays, a batch of documents at a time: all its tokens are sorted by document and term once.
+def _token_blocks(keyword: bool):
+    """Posting blocks of token arrays, one for each term of a batch of documents: all its tokens are sorted by term at once.
 
-    A document's tokens lie in one row, so grouping them needs no shuffle.
+    A keyword counts once a document, at position 0 and without a length.
     """
-    for batch in batches:
-        shard, doc, lists = batch.columns
-        size = np.diff(lists.offsets.to_numpy())
-        size[lists.is_null().to_numpy(zero_copy_only=False)] = 0
-        flat = lists.flatten()
-        row = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        coded = flat.dictionary_encode()
-        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        row, place, code = (x[code >= 0] for x in (row, place, code))
-        length = np.bincount(row, minlength=len(size))
-        group = row * max(1, len(coded.dictionary)) + code
-        order = np.argsort(group, kind="stable")
-        group, row, place, code = group[order], row[order], place[order], code[order]
-        head = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
-        ends = np.append(head, len(group))
-        owner = pa.array(row[head])
-        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
-        columns = [shard.take(owner), doc.take(owner), coded.dictionary.take(pa.array(code[head])), pa.array(np.diff(ends), pa.int32()), pa.array(length[row[head]], pa.int32()), positions]
-        yield pa.RecordBatch.from_arrays(columns, ["_shard", "_doc", "term", "tf", "len", "positions"])
 
-
-def postings(view: View) -> DataFrame:
-    """(_shard, field, term, _doc, tf, len, positions), one row per document and term. Keywords have tf 1 and no length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, doc, lists = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2))
+            size = np.diff(lists.offsets.to_numpy())
+            size[lists.is_null().to_numpy(zero_copy_only=False)] = 0
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            coded = flat.dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, place, code = (x[code >= 0] for x in (row, place, code))
+            length = np.bincount(row, minlength=len(size))
+            shards, which = np.unique(shard, return_inverse=True)
+            # terms in the order of the dictionary sorted, then shards; the sort is stable, so documents and places stay in order
+            names = pa.compute.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(names), np.int64)
+            rank[names] = np.arange(len(names))
+            key = rank[code] * max(1, len(shards)) + which[row]
+            order = np.argsort(key, kind="stable")
+            key, row, place = key[order], row[order], place[order]
+            block = np.diff(key, prepend=-1) != 0
+            head = np.flatnonzero(block | (np.diff(row, prepend=-1) != 0))
+            ends = np.append(head, len(key))
+            first = np.flatnonzero(block[head])  # postings that open a block
+            limits = pa.array(np.append(first, len(head)), pa.int32())
+            if keyword:
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(head) + 1), pa.int32()), pa.array(np.zeros(len(head)), pa.int32()))
+                tf, lens = np.ones(len(head), np.int64), np.zeros(len(head), np.int64)
+            else:
+                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+                tf, lens = np.diff(ends), length[row[head]]
+            term = coded.dictionary.take(pa.array(names[key[head[first]] // max(1, len(shards))]))
+            lists = [pa.ListArray.from_arrays(limits, v) for v in (pa.array(doc[row[head]], pa.int64()), pa.array(tf, pa.int32()), pa.array(lens, pa.int32()), inner)]
+            yield pa.RecordBatch.from_arrays([pa.array(shards[key[head[first]] % max(1, len(shards))], pa.int32()), term, *lists], ["_shard", "term", "docs", "tfs", "lens", "positions"])
+
+    return run
+
+
+def blocks(view: View) -> DataFrame:
+    """Postings of every field with terms as blocks: a term, a shard, and arrays over the documents of one batch.
+
+    A document's tokens lie in one row, so grouping them needs no shuffle. Keywords have tf 1 and no length.
+    """
     parts = []
     for name, spec in view.mapping.fields.items():
-        if not spec.has_terms:
-            continue
-        keys = ["_shard", "_doc"]
-        if spec.type == "text":
-            rows = view.docs.select(*keys, view.tokens(name).alias("tokens")).mapInArrow(_grouped_tokens, _TEXT_POSTINGS)
-        else:
-            one = view.docs.select(*keys, F.explode(F.array_distinct(view.values(name))).alias("term"))
-            rows = one.filter(F.col("term").isNotNull()).select(*keys, "term", F.lit(1).alias("tf"), F.lit(0).alias("len"), F.array(F.lit(0)).alias("positions"))
-        parts.append(rows.select("_shard", F.lit(name).alias("field"), "term", "_doc", "tf", "len", "positions"))
-    if not parts:
-        return view.docs.sparkSession.createDataFrame([], "_shard int, field string, term string, _doc long, tf int, len int, positions array<int>")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        if spec.has_terms:
+            rows = view.docs.select("_shard", "_doc", view.tokens(name).alias("tokens")).mapInArrow(_token_blocks(spec.type != "text"), _BLOCK)
+            parts.append(rows.withColumn("field", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts) if parts else view.docs.sparkSession.createDataFrame([], BLOCKS)
+
+
+def postings(view: View) -> DataFrame:
+    """(_shard, field, term, _doc, tf, len, positions), one row per document and term."""
+    return replace(view, postings=blocks(view)).posted()
 
 
 def field_statistics(view: View) -> DataFrame:
     """(_shard, field, n, sum_len): live documents of the shard, with or without the field, and the sum of its lengths."""
     texts = [n for n, s in view.mapping.fields.items() if s.type == "text"]
-    lengths = [F.coalesce(F.sum(F.size(F.filter(view.tokens(n), lambda t: t.isNotNull()))), F.lit(0)).alias(f"sum{i}") for i, n in enumerate(texts)]
+    stored = [f"_tokens_{n}" for n in texts]
+    known = all(c in view.docs.columns for c in stored)
+    size = lambda n: F.col(f"_tokens_{n}") if known else tokens_of(view, n)
+    lengths = [F.coalesce(F.sum(size(n)), F.lit(0)).alias(f"sum{i}") for i, n in enumerate(texts)]
     per_shard = view.docs.groupBy("_shard").agg(F.count(F.lit(1)).alias("n"), *lengths)
     rows = [F.struct(F.lit(n).alias("field"), F.col(f"sum{i}").alias("sum_len")) for i, n in enumerate(texts)]
     rows.append(F.struct(F.lit("").alias("field"), F.lit(0).cast("long").alias("sum_len")))
     return per_shard.select("_shard", "n", F.explode(F.array(*rows)).alias("r")).select("_shard", "r.field", "n", "r.sum_len")
 
 
+def tokens_of(view: View, name: str) -> Column:
+    return F.size(F.filter(view.tokens(name), lambda t: t.isNotNull())) if view.is_array(name) else F.size(view.tokens(name))
+
+
 def term_statistics(posted: DataFrame) -> DataFrame:
     """(_shard, field, term, df)."""
     return posted.groupBy("_shard", "field", "term").agg(F.count("*").alias("df"))
@@ -160,27 +185,37 @@ def term_dictionary(posted: DataFrame, field: str) -> DataFrame:
 POINTER = "_current"
 
 
-def save(view: View, folder: str, files: int = 0, keep: int = 2) -> int:
-    """Write a new version and make it current; versions older than the last ``keep`` go. Returns the version.
+def _sorted_blocks(made: DataFrame, files: int) -> DataFrame:
+    """By field, term, shard and first document: a term reads few row groups, and a frequent one is many tasks and files."""
+    by = ("field", "term", "_shard", "_first")
+    made = made.withColumn("_first", F.col("docs")[0])
+    made = made.repartitionByRange(files, *by) if files else made.repartitionByRange(*by)
+    return made.sortWithinPartitions(*by).drop("_first")
+
 
-    Postings are split by field and sorted by term, so a term reads few row groups. They are written as they come first:
-    a range partitioning samples its input, and must not analyze every text twice for it.
+def write_tables(view: View, disk: Files, name: str, files: int = 0, made: DataFrame | None = None) -> None:
+    """Documents with their numbers of tokens, posting blocks (``made`` where they exist already) and statistics below ``name``.
+
+    Texts are analyzed for the blocks and for the lengths, nowhere else. Blocks are written as they come first: a range partitioning
+    samples its input, and must not analyze every text twice for it.
     """
-    spark = view.docs.sparkSession
-    disk = Files(spark, folder)
-    version = (json.loads(disk.read(POINTER))["version"] if disk.exists(POINTER) else 0) + 1
-    at = f"{disk.folder}/v{version}"
+    spark, at = view.docs.sparkSession, f"{disk.folder}/{name}"
     docs = view.docs.repartitionByRange(files, "_shard", "_doc") if files else view.docs.repartition("_shard", "_doc")
+    texts = [n for n, s in view.mapping.fields.items() if s.type == "text" and f"_tokens_{n}" not in view.docs.columns]
+    docs = docs.withColumns({f"_tokens_{n}": tokens_of(view, n) for n in texts}) if texts else docs
     docs.sortWithinPartitions("_shard", "_doc").write.mode("overwrite").parquet(f"{at}/docs")
-    saved = View(spark.read.parquet(f"{at}/docs"), view.mapping, view.shards)
-    postings(saved).write.mode("overwrite").parquet(f"{at}/unsorted")
-    made = spark.read.parquet(f"{at}/unsorted")
-    by = ("field", "term", "_shard")
-    made = (made.repartitionByRange(files, *by) if files else made.repartitionByRange(*by)).sortWithinPartitions(*by, "_doc")
-    made.write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
-    disk.delete(f"v{version}/unsorted")
-    field_statistics(saved).write.mode("overwrite").parquet(f"{at}/fields")
-    term_statistics(spark.read.schema(_POSTINGS).parquet(f"{at}/postings")).sort("field", "term").write.mode("overwrite").parquet(f"{at}/terms")
+    saved = replace(view, docs=spark.read.schema(docs.schema).parquet(f"{at}/docs"), postings=None, dead=None)
+    (blocks(saved) if made is None else made).write.mode("overwrite").parquet(f"{at}/unsorted")
+    _sorted_blocks(spark.read.schema(BLOCKS).parquet(f"{at}/unsorted"), files).write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+    disk.delete(f"{name}/unsorted")
+    field_statistics(saved).coalesce(1).write.mode("overwrite").parquet(f"{at}/fields")
+
+
+def save(view: View, folder: str, files: int = 0, keep: int = 2) -> int:
+    """Write a new version and make it current; versions older than the last ``keep`` go. Returns the version."""
+    disk = Files(view.docs.sparkSession, folder)
+    version = (json.loads(disk.read(POINTER))["version"] if disk.exists(POINTER) else 0) + 1
+    write_tables(replace(view, postings=None), disk, f"v{version}", files, view.postings)
     disk.replace(POINTER, json.dumps({"version": version, "shards": view.shards, "mapping": view.mapping.to_dict()}))
     for name in disk.names():
         if name.startswith("v") and name[1:].isdigit() and int(name[1:]) <= version - keep:
@@ -188,9 +223,6 @@ def save(view: View, folder: str, files: int = 0, keep: int = 2) -> int:
     return version
 
 
-_POSTINGS = "_shard int, term string, _doc long, tf int, len int, positions array<int>, field string"
-
-
 def load(spark: SparkSession, folder: str) -> View:
     """The current version; its plans keep working while newer versions are written."""
     disk = Files(spark, folder)
@@ -200,11 +232,10 @@ def load(spark: SparkSession, folder: str) -> View:
     at = f"{disk.folder}/v{meta['version']}"
     return View(
         spark.read.parquet(f"{at}/docs"), Mapping.of(meta["mapping"]), meta["shards"],
-        spark.read.schema(_POSTINGS).parquet(f"{at}/postings"), spark.read.parquet(f"{at}/fields"), spark.read.parquet(f"{at}/terms"),
+        spark.read.schema(BLOCKS).parquet(f"{at}/postings"), spark.read.parquet(f"{at}/fields"),
     )
 
 
 def compact(spark: SparkSession, folder: str, files: int = 1) -> int:
-    """Rewrite the current version into ``files`` files per table."""
-    view = load(spark, folder)
-    return save(View(view.docs, view.mapping, view.shards), folder, files)
+    """Rewrite the current version into ``files`` files per table; the posting blocks are moved, no text is analyzed again."""
+    return save(load(spark, folder), folder, files)
