@@ -6,6 +6,7 @@ that the last bit of a logarithm can't change a result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -13,9 +14,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.errors import VersionConflictError
 from lexispark.functions import analysis, routing
 from lexispark.operators import aggregations, versions
 from lexispark.operators.engine import Engine
+from lexispark.operators.node import Node
 from lexispark.operators.search import SortField, position_map, positions, sort_value, top_k, with_sort_values
 from lexispark.mapping import Mapping
 from lexispark.plans import dsl
@@ -46,6 +49,8 @@ class Source:
 
     @property
     def relation(self) -> str:
+        if self.sql:
+            return f"({self.sql})"
         return "(select d.*, quality, toxic from documents d left join labels using (doc_id))" if self.table == "labelled" else self.table
 
 
@@ -273,10 +278,12 @@ def positions_for_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps of ten hits, field to term to positions, as rows."""
     view = PARTS.view(spark, sf_dir)
     query = dsl.parse({"multi_match": {"query": "promo steel", "fields": ["p_name", "p_type"]}}, view.mapping)
-    made = position_map(positions(view, top_k(view, query, 10), query))
-    return made.select("_id", F.to_json("positions").alias("positions"))
+    made = position_map(positions(view, top_k(view, query, 10, digits=6), query))
+    fields = made.select("_id", F.explode("positions").alias("field", "terms"))
+    return fields.select("_id", "field", F.explode("terms").alias("term", "at")).select("_id", "field", "term", F.array_join(F.col("at").cast("array<string>"), ",").alias("positions"))
 
 
 def fetch_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,8 +308,43 @@ def shard_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def per_shard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores from each shard's own statistics, merged: ties go to the lower shard."""
     view = DOCS.view(spark, sf_dir, 3)
-    hits = top_k(view, dsl.parse(_text("match", "the und"), view.mapping), 20)
-    return hits.select(F.col("_shard").alias("shard"), F.col("_doc").alias("doc"), F.round("_score", 6).alias("score"))
+    hits = top_k(view, dsl.parse(_text("match", "the und"), view.mapping), 20, digits=6)
+    return hits.select(F.col("_shard").alias("shard"), F.col("_doc").alias("doc"), F.col("_score").alias("score"))
+
+
+def _murmur_sql(relation: str, key: str) -> tuple[str, str]:
+    """CTEs m0 to m9 over ids of at most eleven bytes: Murmur3 step by step, ending in ``hash`` (signed)."""
+    rot = lambda x, r: f"(((({x}) << {r}) | (({x}) >> {32 - r})) & 4294967295)"
+    code = lambda i: f"case when {i} <= length(s) then ascii(substr(s, {i}, 1)) else 0 end"
+    word = lambda i: " + ".join(f"(({code(f'{i} + {j}')}) << {8 * j})" for j in range(1, 4)) + f" + ({code(str(i))})"
+    steps = [f"m0 as (select *, {key}::varchar as s from {relation})"]
+    add = lambda columns: steps.append(f"m{len(steps)} as (select *, {columns} from m{len(steps) - 1})")
+    add(f"({word(1)})::ubigint as w0, ({word(5)})::ubigint as w1, ({word(9)})::ubigint as w2, length(s) as n, 0::ubigint as h0")
+    add(", ".join(f"(w{i} * 3432918353) & 4294967295 as a{i}" for i in range(3)))
+    add(", ".join(f"({rot(f'a{i}', 15)} * 461845907) & 4294967295 as k{i}" for i in range(3)))
+    for i in range(2):  # whole words change h as blocks, the rest as the tail
+        add(f"xor(h{i}, k{i}) as x{i}")
+        add(f"case when n >= {4 * i + 4} then ({rot(f'x{i}', 13)} * 5 + 3864292196) & 4294967295 when n > {4 * i} then x{i} else h{i} end as h{i + 1}")
+    add("xor(case when n > 8 then xor(h2, k2) else h2 end, n::ubigint) as f0")
+    add("(xor(f0, f0 >> 16) * 2246822507) & 4294967295 as f1")
+    add("(xor(f1, f1 >> 13) * 3266489909) & 4294967295 as f2")
+    add("xor(f2, f2 >> 16)::bigint as f3")
+    add("(case when f3 >= 2147483648 then f3 - 4294967296 else f3 end)::int as hash")
+    return ", ".join(steps), f"m{len(steps) - 1}"
+
+
+_HASHED, _LAST = _murmur_sql("documents", "doc_id")
+
+
+def _per_shard_sql() -> str:
+    term = lambda t, df: f"ln(1 + (n_ - {df} + 0.5) / ({df} + 0.5)) * ((tf_{t} * 2.2::double) / (tf_{t} + 1.2::double * (0.25::double + 0.75::double * len(t) / (sum_ / n_))))"
+    return (
+        f"with {_HASHED}, tok as (select doc_id, ((hash % 3) + 3) % 3 as shard, list_filter(regexp_split_to_array(lower(text), '{WHITE}'), lambda x: x <> '') as t from {_LAST}), "
+        "tf as (select *, len(list_filter(t, lambda x: x = 'the')) as tf_the, len(list_filter(t, lambda x: x = 'und')) as tf_und from tok), "
+        "st as (select shard, count(*)::double as n_, sum(len(t))::double as sum_, count_if(tf_the > 0)::double as df_the, count_if(tf_und > 0)::double as df_und from tf group by shard) "
+        f"select shard::int as shard, doc_id as doc, round(case when tf_the > 0 then {term('the', 'df_the')} else 0 end + case when tf_und > 0 then {term('und', 'df_und')} else 0 end, 6) as score "
+        "from tf join st using (shard) where tf_the > 0 or tf_und > 0 order by score desc, shard, doc limit 20"
+    )
 
 
 def global_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,6 +435,117 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregations.terms(view, matches(MatchAll(), view, False), "p_brand", 0)
 
 
+_CHANGED = (
+    "select p_partkey, case when p_partkey % 5 = 0 then 'renewed ' || p_name else p_name end as p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice "
+    "from part where p_partkey % 7 <> 0"
+)
+CHANGED = Source("part", "p_partkey", PARTS.fields, _CHANGED)
+_RENEWED = {"bool": {"must": [{"match": {"p_type": "steel promo"}}], "should": [{"match": {"p_name": "renewed"}}, {"match_phrase": {"p_type": "promo plated"}}], "must_not": [{"term": {"p_brand": "Brand#13"}}]}}
+
+
+def _changed_parts(spark: SparkSession, sf_dir: str, shards: int = 1) -> Engine:
+    """Parts in one segment, every fifth renewed and every seventh deleted by a second one."""
+    parts = PARTS.load(spark, sf_dir)
+    engine = Engine(spark, _folder(spark), Mapping.of(PARTS.fields), shards)
+    row = lambda name: F.to_json(F.struct(name, "p_brand", "p_type", "p_size", "p_retailprice")).alias("_source")
+    key = F.col("p_partkey").cast("string").alias("_id")
+    engine.append(parts.select(key, row(F.col("p_name"))))
+    engine.refresh()
+    op = F.when(F.col("p_partkey") % 7 == 0, "delete").otherwise("index").alias("op")
+    engine.append(parts.filter("p_partkey % 5 = 0 or p_partkey % 7 = 0").select(key, row(F.concat(F.lit("renewed "), "p_name").alias("p_name")), op))
+    engine.refresh()
+    return engine
+
+
+def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over two segments and their dead documents, with the statistics of the live ones."""
+    view = _changed_parts(spark, sf_dir).view()
+    found = matches(dsl.parse(_RENEWED, view.mapping), view)
+    return found.select(F.col("_id").cast("long").alias("doc"), F.round("_score", 6).alias("score"))
+
+
+def merged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after flush and merge, by a new reader."""
+    engine = _changed_parts(spark, sf_dir)
+    engine.compact()
+    view = Engine(spark, engine.folder, engine.mapping).view()
+    found = matches(dsl.parse(_RENEWED, view.mapping), view)
+    return found.select(F.col("_id").cast("long").alias("doc"), F.round("_score", 6).alias("score"))
+
+
+def segment_delete_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left, with its latest name, when all parts of a brand are deleted by their postings."""
+    engine = _changed_parts(spark, sf_dir)
+    engine.delete_by_term("p_brand", "Brand#13")
+    return engine.view().docs.select(F.col("_id").cast("long").alias("p_partkey"), F.element_at("p_name", -1).alias("p_name"))
+
+
+def get_after_bulk_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real-time reads and version checks after single writes that a bulk write replaced; nothing is refreshed."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    engine = Engine(spark, _folder(spark), Mapping.of({"n": "keyword"}))
+    for i in range(3):
+        engine.index(str(i), '{"n":"old"}')
+    key = F.col("n_nationkey").cast("string").alias("_id")
+    engine.append(nations.select(key, F.to_json(F.struct(F.col("n_name").alias("n"))).alias("_source")))
+    out = []
+    for i, v in engine._versions([str(i) for i in range(25)]).items():
+        conflict = None
+        if int(i) < 3:
+            try:
+                engine.index(i, "{}", if_seq_no=int(i), if_primary_term=1)
+                conflict = False
+            except VersionConflictError:
+                conflict = True
+        out.append((int(i), json.loads(v.source)["n"], conflict))
+    return spark.createDataFrame(out, "n_nationkey long, name string, conflict boolean")
+
+
+def numbers_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last operation is a delete; after compaction and reopening the next write has a higher number all the same."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    engine = Engine(spark, _folder(spark), Mapping.of({"n": "keyword"}))
+    engine.append(nations.select(F.col("n_nationkey").cast("string").alias("_id"), F.to_json(F.struct(F.col("n_name").alias("n"))).alias("_source")))
+    last = engine.delete("7")["_seq_no"]
+    engine.compact()
+    again = Engine(spark, engine.folder, engine.mapping)
+    found = again.index("new", '{"n":"x"}')
+    again.refresh()
+    return again.view().docs.select("_id", F.lit(found["_seq_no"] > last).alias("higher"), F.lit(found["result"]).alias("result"))
+
+
+def node_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, default number of hits, and two aggregations of one request to a node of three shards."""
+    node = Node(spark, _folder(spark))
+    node.create_index("parts", {n: PARTS.fields[n] for n in ("p_type", "p_brand", "p_size")}, shards=3)
+    parts = PARTS.load(spark, sf_dir)
+    node.engine("parts").append(parts.select(F.col("p_partkey").cast("string").alias("_id"), F.to_json(F.struct("p_type", "p_brand", "p_size")).alias("_source")))
+    node.bulk('{"delete":{"_id":"1"}}\n{"index":{"_id":"2"}}\n{"p_type":"STEEL BRUSHED","p_brand":"Brand#99"}\n', "parts")
+    node.refresh("parts")
+    made = node.search("parts", {"query": {"match": {"p_type": "brushed"}}, "size": -1, "aggs": {"brands": {"terms": {"field": "p_brand", "size": 1000}}, "sized": {"value_count": {"field": "p_size"}}}})
+    rows = [("total", "", made["hits"]["total"]["value"]), ("hits", "", len(made["hits"]["hits"])), ("sized", "", made["aggregations"]["sized"]["value"])]
+    rows += [("brands", b["key"], b["doc_count"]) for b in made["aggregations"]["brands"]["buckets"]]
+    return spark.createDataFrame(rows, "kind string, key string, value long")
+
+
+#: SQL by hand for queries of the JSON language, so that bounds and shapes aren't read by the parser twice.
+BY_HAND = {
+    "term_keyword": "select doc_id as doc, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * (2.2 / 1.3), 6) as score from documents, (select count(*)::double as n, count_if(lang = 'de')::double as df from documents) where lang = 'de' order by doc limit 10",
+    "term_number_on_long_no_match": "select doc_id as doc, 0.0::double as score from documents where false",
+    "bool_filter_only_zero_score": "select doc_id as doc, 0.0::double as score from documents where lang = 'fr' order by doc limit 10",
+    "bool_only_must_not_empty": "select doc_id as doc, 0.0::double as score from documents where false",
+    "range_long_gte_lt": "select doc_id as doc, 1.0::double as score from documents where n_chars >= 400 and n_chars < 500 order by doc limit 50",
+    "range_long_gt_lte": "select doc_id as doc, 1.0::double as score from documents where n_chars > 400 and n_chars <= 500 order by doc limit 50",
+    "range_double": "select p_partkey as doc, 1.0::double as score from part where p_retailprice > 950 and p_retailprice < 1200 order by doc limit 50",
+    "range_open": "select event_id as doc, 1.0::double as score from events where value >= 50 order by doc limit 50",
+    "range_empty": "select doc_id as doc, 1.0::double as score from documents where false",
+    "exists_keyword": "select p_partkey as doc, 1.0::double as score from part where p_brand <> '' order by doc limit 50",
+    "exists_unmapped": "select doc_id as doc, 1.0::double as score from documents where false",
+    "match_all_topk": "select doc_id as doc, 1.0::double as score from documents order by doc limit 25",
+    "sort_numeric_asc": "select doc_id as doc, n_chars as sort_0 from documents order by n_chars, doc_id limit 20",
+    "sort_multi": "select doc_id as doc, lang as sort_0, n_chars as sort_1 from documents order by lang nulls first, n_chars desc, doc_id limit 30",
+}
+
 _TOK = f"tok as (select doc_id, lang, list_filter(regexp_split_to_array(lower(text), '{WHITE}'), lambda x: x <> '') as t from documents)"
 _PLACED = f"{_TOK}, placed as (select doc_id, unnest(t) as term, unnest(range(0, len(t))) as p from tok)"
 
@@ -429,11 +582,17 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
         f"with hits as ({Sql(DOCS, dsl.parse(_text('match', 'the of'), Mapping.of(DOCS.fields))).rows('doc_id, score')} order by score desc, doc_id limit 10), {_PLACED} "
         "select doc_id as doc, 'text' as field, term, string_agg(p::varchar, ',' order by p) as positions from placed join hits using (doc_id) where term in ('the', 'of') group by all",
     ),
-    "position_maps": (position_maps, None),
+    "position_maps": (
+        position_maps,
+        f"with hits as ({Sql(PARTS, dsl.parse({'multi_match': {'query': 'promo steel', 'fields': ['p_name', 'p_type']}}, Mapping.of(PARTS.fields))).rows('p_partkey, score')} order by score desc, p_partkey limit 10), "
+        f"w as (select p_partkey, 'p_name' as field, regexp_split_to_array(lower(p_name), '{WHITE}') as t from part union all select p_partkey, 'p_type', regexp_split_to_array(lower(p_type), '{WHITE}') from part), "
+        "u as (select p_partkey, field, unnest(t) as term, unnest(range(0, len(t))) as p from w) "
+        "select p_partkey::varchar as _id, field, term, string_agg(p::varchar, ',' order by p) as positions from u join hits using (p_partkey) where term in ('promo', 'steel') group by all",
+    ),
     "fetch_sources": (fetch_sources, "select doc_id, lang, source, n_chars from documents where n_chars >= 1000 order by doc_id limit 20"),
     "sort_values": (sort_values, "select doc_id as doc, lang || '/' || n_chars::varchar as sort_values from documents order by lang, n_chars desc, doc_id limit 15"),
-    "shard_routing": (shard_routing, None),
-    "per_shard_topk": (per_shard_topk, None),
+    "shard_routing": (shard_routing, f"with {_HASHED} select doc_id, (((hash % 5) + 5) % 5)::int as shard, hash from {_LAST}"),
+    "per_shard_topk": (per_shard_topk, _per_shard_sql()),
     "global_merge": (global_merge, Search(DOCS, _text("match", "the und"), 20).sql()),
     "upsert_latest_wins": (upsert_latest_wins, f"with {_LOG_SQL} select id, seq, source from last where op = 'index'"),
     "tombstones": (tombstones, f"with {_LOG_SQL} select id, seq from last where op = 'delete'"),
@@ -450,6 +609,17 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
         Search(DOCS, {"bool": {"must": [_text("match", "the in und")], "filter": [{"term": {"lang": "en"}}], "must_not": [_text("match_phrase", "of the")]}}).sql(),
     ),
     "compacted_index_range": (compacted_index_range, Sql(PARTS, dsl.parse({"bool": {"must": [{"range": {"p_size": {"gte": 10, "lt": 20}}}], "should": [{"match": {"p_type": "steel"}}]}}, Mapping.of(PARTS.fields))).rows("p_partkey as doc, score")),
+    "segment_search": (segment_search, Sql(CHANGED, dsl.parse(_RENEWED, Mapping.of(PARTS.fields))).rows("p_partkey::bigint as doc, score")),
+    "merged_search": (merged_search, Sql(CHANGED, dsl.parse(_RENEWED, Mapping.of(PARTS.fields))).rows("p_partkey::bigint as doc, score")),
+    "segment_delete_by_term": (segment_delete_by_term, f"select p_partkey, p_name from ({_CHANGED}) where p_brand <> 'Brand#13'"),
+    "get_after_bulk_write": (get_after_bulk_write, "select n_nationkey::bigint as n_nationkey, n_name as name, case when n_nationkey < 3 then true end as conflict from nation"),
+    "numbers_after_compaction": (numbers_after_compaction, "select n_nationkey::varchar as _id, true as higher, 'created' as result from nation where n_nationkey <> 7 union all select 'new', true, 'created'"),
+    "node_response": (
+        node_response,
+        "with d as (select case when p_partkey = 2 then 'STEEL BRUSHED' else p_type end as t, case when p_partkey = 2 then 'Brand#99' else p_brand end as b, case when p_partkey = 2 then null else p_size end as z from part where p_partkey <> 1), "
+        f"f as (select * from d where list_contains(regexp_split_to_array(lower(t), '{WHITE}'), 'brushed')) "
+        "select 'total' as kind, '' as key, count(*) as value from f union all select 'hits', '', least(10, count(*)) from f union all select 'sized', '', count(z) from f union all select 'brands', b, count(*) from f group by b",
+    ),
     "stream_ingest": (stream_ingest, "select p_brand as key, count(*) as doc_count from part group by p_brand"),
 }
 
@@ -459,4 +629,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: s.sql() for name, s in SEARCHES.items()} | {name: sql for name, (_, sql) in OTHERS.items() if sql}
+    return {name: s.sql() for name, s in SEARCHES.items()} | BY_HAND | {name: sql for name, (_, sql) in OTHERS.items() if sql}
