@@ -18,6 +18,8 @@ BAND = 4
 SLICE_BYTES = 3 << 20
 #: Members of a bucket that meet in one task; larger buckets are compared part by part.
 PART = 2_048
+#: Cells of the counts that rule pairs out before their sets are fetched.
+CELLS = 512
 #: Partners of one hub whose sets are compared in one task.
 FAN = 1_024
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -129,25 +131,40 @@ def _set_rows(width: int):
     return run
 
 
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements of each set fall into each of CELLS cells, 255 and more as 255."""
+    for batch in batches:
+        lists = batch.column(2)
+        at = lists.offsets.to_numpy()
+        items = lists.flatten().to_numpy().view(np.uint64)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        counts = np.bincount(row * CELLS + (mix(items) % np.uint64(CELLS)).astype(np.int64), minlength=(len(at) - 1) * CELLS)
+        raw = np.minimum(counts, 255).astype(np.uint8).tobytes()
+        cells = pa.array([raw[i : i + CELLS] for i in range(0, len(raw), CELLS)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["uid", "n", "cells"])
+
+
 def _cross_pairs(percent: int):
-    """Pairs of one part of a bucket from different components whose sizes allow the similarity.
+    """Pairs of one part of a bucket from different components that may be similar enough.
 
-    A pair comes from the first band that both share and from no other.
+    Two sets have at most the smaller count of each cell in common. A pair whose sum of these is too small for the
+    threshold can't be a link, so leaving it out is exact; full cells count without a limit.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
         uid, component, part, n = (group[c].to_numpy() for c in ("uid", "component", "part", "n"))
-        low, high, at = (group[c][0].as_py() for c in ("low", "high", "at"))
-        bands = group["bands"].combine_chunks() if isinstance(group["bands"], pa.ChunkedArray) else group["bands"]
-        bands = (bands if isinstance(bands, pa.Array) else pa.concat_arrays(bands.chunks)).flatten().to_numpy().reshape(len(uid), -1)
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        cells = np.frombuffer(b"".join(group["cells"].to_pylist()), np.uint8).reshape(len(uid), CELLS)
+        full = cells == 255
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
         a, b = [uid[:0]], [uid[:0]]
         for i in left.tolist():
             others = right[right > i] if low == high else right
             others = others[(component[others] != component[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent)]
-            if len(others) and at:
-                others = others[~(bands[others, :at] == bands[i, :at]).any(1)]
+            common = np.minimum(cells[others], cells[i]).sum(1, dtype=np.int64)
+            if full[i].any():
+                common = np.where((full[others] & full[i]).any(1), n[i], common)
+            others = others[common * (100 + percent) >= (n[others] + n[i]) * percent]
             a.append(np.full(len(others), uid[i]))
             b.append(uid[others])
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
@@ -160,9 +177,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Equal sets are one class from the start, whatever their number, and only a class's first row goes on. Bands
     of its sketch propose pairs; in a bucket everyone is first compared with one hub, and what the
-    hubs' links leave in different components is compared in turn, all of it, larger buckets in parts of ``PART`` members. No
-    bucket is cut short, and pairs within one component are never emitted. A link is confirmed on the full sets of
-    64-bit shingle hashes; a hub with many partners meets them in several tasks.
+    hubs' links leave in different components is compared in turn, all of it, larger buckets in parts of ``PART`` members: first by
+    counts of shingles in cells, which bound what two sets have in common from above, then on the sets. No bucket is cut
+    short, and pairs within one component are never emitted. A link is confirmed on the full sets of 64-bit shingle
+    hashes; a hub with many partners meets them in several tasks.
 
     With 32 bands of 4 coordinates a pair at the threshold 0.85 fails to meet in any bucket with a chance of 6e-11, at
     0.8 of 5e-8. Returns key, n_shingles, component_id (the smallest key reachable) and kept (key = component_id), one row
@@ -182,7 +200,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = scratch.save(rows.drop("bands").join(classes, same, "left").withColumn("rep", F.coalesce("rep", "uid")), "members")
     reps = rows.filter("n > 0").join(classes.select("rep"), rows["uid"] == F.col("rep"), "left_semi")
 
-    banded = reps.select("uid", F.posexplode("bands").alias("at", "value")).select("uid", "at", F.xxhash64("at", "value").alias("band"))
+    banded = reps.select("uid", F.posexplode("bands").alias("at", "value")).select("uid", F.xxhash64("at", "value").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("uid").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     buckets = scratch.save(banded.join(hubs, "band"), "buckets")
 
@@ -208,11 +226,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     first = scratch.save(confirm(buckets.filter("uid != hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()), "links1")
     labels = connected_components(first, scratch, "first")
 
-    placed = buckets.drop("hub").join(labels, buckets["uid"] == labels["id"], "left").select("band", "at", "uid", F.coalesce("component", "uid").alias("component"))
+    placed = buckets.drop("hub").join(labels, buckets["uid"] == labels["id"], "left").select("band", "uid", F.coalesce("component", "uid").alias("component"))
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("band", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     crossing = placed.join(split, "band").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    crossing = crossing.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "at", "uid", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    crossing = crossing.join(reps.select("uid", "n", "bands"), "uid")
+    crossing = crossing.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "uid", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    counts = sets.mapInArrow(_cell_counts, "uid bigint, n bigint, cells binary")
+    tasks = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    crossing = crossing.join(counts, "uid").repartition(tasks, "band", "low", "high")
     pairs = crossing.groupBy("band", "low", "high").applyInArrow(_cross_pairs(percent), "a bigint, b bigint")
     second = scratch.save(confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links2")
     labels = connected_components(first.unionByName(second), scratch, "second")
