@@ -20,6 +20,8 @@ SLICE_BYTES = 3 << 20
 PART = 2_048
 #: Cells of the counts that rule pairs out before their sets are fetched.
 CELLS = 512
+#: Sets whose cells are counted at a time.
+CELL_ROWS = 1_024
 #: Partners of one hub whose sets are compared in one task.
 FAN = 1_024
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -131,17 +133,25 @@ def _set_rows(width: int):
     return run
 
 
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many elements of each set fall into each of CELLS cells, 255 and more as 255."""
+def _cell_counts(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES // 8) -> Iterator[pa.RecordBatch]:
+    """How many elements of each set fall into each of CELLS cells, 255 and more as 255.
+
+    Counted over CELL_ROWS sets and ``most`` elements at a time, so that memory depends neither on the batch nor on the largest set.
+    """
     for batch in batches:
         lists = batch.column(2)
-        at = lists.offsets.to_numpy()
-        items = lists.flatten().to_numpy().view(np.uint64)
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        counts = np.bincount(row * CELLS + (mix(items) % np.uint64(CELLS)).astype(np.int64), minlength=(len(at) - 1) * CELLS)
-        raw = np.minimum(counts, 255).astype(np.uint8).tobytes()
-        cells = pa.array([raw[i : i + CELLS] for i in range(0, len(raw), CELLS)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["uid", "n", "cells"])
+        at, items = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        for lo in range(0, batch.num_rows, CELL_ROWS):
+            own = at[lo : lo + CELL_ROWS + 1]
+            rows = len(own) - 1
+            counts = np.zeros(rows * CELLS, np.int64)
+            for i in range(int(own[0]), int(own[-1]), most):
+                j = min(i + most, int(own[-1]))
+                row = np.repeat(np.arange(rows), np.diff(np.clip(own, i, j)))
+                counts += np.bincount(row * CELLS + (mix(items[i:j]) % np.uint64(CELLS)).astype(np.int64), minlength=len(counts))
+            raw = np.minimum(counts, 255).astype(np.uint8).tobytes()
+            cells = pa.array([raw[i : i + CELLS] for i in range(0, len(raw), CELLS)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), cells], ["uid", "n", "cells"])
 
 
 def _cross_pairs(percent: int):

@@ -1,12 +1,15 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexispark.llm import minhash, packing, quality, repeats, secrets, sharding, stages, suffixes
+from lexispark.llm.common import mix
 from lexispark.llm.minhash import near_duplicates, shingle_sets, sketches
 from lexispark.llm.mixing import mix_sources
 from lexispark.llm.substring import factor, substring_dedup
@@ -133,6 +136,28 @@ def test_links_of_templates_in_small_parts(spark, monkeypatch):
         assert got == comp
 
 
+def test_cell_counts_in_bounded_memory():
+    """Counts are those of each set by itself, and memory doesn't follow the batch or a long set."""
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(0, 500, 8000), [2_000_000, 0, 7]])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    items = rng.integers(-(1 << 63), (1 << 63) - 1, at[-1])
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(items))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes))), pa.array(sizes), lists], ["uid", "n", "items"])
+    tracemalloc.start()
+    got = [(b.num_rows, b.column(2)) for b in minhash._cell_counts(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    cells = [c.as_py() for _, column in got for c in column]
+    assert len(cells) == len(sizes)
+    for i in [0, 1, 1023, 1024, 5000, *range(7999, len(sizes))]:
+        own = mix(items[at[i] : at[i + 1]].view(np.uint64)) % np.uint64(minhash.CELLS)
+        assert cells[i] == np.minimum(np.bincount(own.astype(np.int64), minlength=minhash.CELLS), 255).astype(np.uint8).tobytes()
+    tail = pa.Table.from_batches(minhash._cell_counts(iter([batch.slice(7990)])))
+    assert tail["uid"].to_pylist() == list(range(7990, len(sizes))) and tail["n"].to_pylist() == sizes[7990:].tolist() and tail["cells"].to_pylist() == cells[7990:]
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
