@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lexispark.sources.store import shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Remove a query's shuffle files when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +36,13 @@ class Scratch:
         _made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")  # the table takes the place of what was shuffled for it
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

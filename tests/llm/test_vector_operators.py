@@ -1,12 +1,14 @@
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Scratch
+from lexispark.llm.common import CLEANUP, Scratch
 from lexispark.llm.components import connected_components, spanning_stars
 from lexispark.llm.epsilon_grid import embedding_near_duplicates, interval_join
 from lexispark.llm.voronoi import _product, top_k
@@ -107,3 +109,19 @@ def test_components_of_paths_hubs_and_loops(spark):
     assert {r["id"]: r["component"] for r in made} == want and len(made) == len(want)
     a, b = spanning_stars(np.array([3, 4, 9]), np.array([4, 8, 10]))
     assert dict(zip(a.tolist(), b.tolist())) == {4: 3, 8: 3, 10: 9}
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return set(re.findall(r"shuffle_\d+", files.mkString(" ")))
+
+    before, setting = held(), spark.conf.get(CLEANUP, None)
+    made = spark.range(1000).repartition(3, "id")
+    saved = Scratch(spark, "test").save(made, "rows")
+    for _ in range(50):  # they are removed in the background
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert saved.count() == made.count() == 1000 and spark.conf.get(CLEANUP, None) == setting
