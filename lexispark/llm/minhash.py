@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     banded = reps.select("uid", F.posexplode("bands").alias("at", "value")).select("uid", F.xxhash64("at", "value").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("uid").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
     buckets = scratch.save(banded.join(hubs, "band"), "buckets")
+    scratch.drop("rows")
 
     wanted = buckets.select("uid").distinct()
     known = scratch.save(members.join(wanted, "uid", "left_semi").select("uid", "key", *same), "wanted")
@@ -220,6 +221,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     texts = source.join(keys, source["key"].eqNullSafe(keys["k"]), "left_semi")
     found = texts.mapInArrow(_set_rows(width), "n bigint, one bigint, two bigint, items array<bigint>")
     sets = scratch.save(found.join(known.select("uid", *same), same).dropDuplicates(["uid"]).select("uid", "n", "items"), "sets")
+    scratch.drop("wanted")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
@@ -245,6 +247,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     crossing = crossing.join(counts, "uid").repartition(tasks, "band", "low", "high")
     pairs = crossing.groupBy("band", "low", "high").applyInArrow(_cross_pairs(percent), "a bigint, b bigint")
     second = scratch.save(confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links2")
+    scratch.drop("buckets")
+    scratch.drop("sets")
     labels = connected_components(first.unionByName(second), scratch, "second")
 
     grouped = members.join(labels, members["rep"] == labels["id"], "left").select("key", "n", F.coalesce("component", "rep").alias("group"))

@@ -3,13 +3,14 @@ import random
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from lexispark.llm import minhash, packing, quality, repeats, secrets, sharding, stages, suffixes
-from lexispark.llm.common import mix
+from lexispark.llm.common import _made, mix
 from lexispark.llm.minhash import near_duplicates, shingle_sets, sketches
 from lexispark.llm.mixing import mix_sources
 from lexispark.llm.substring import factor, substring_dedup
@@ -116,6 +117,13 @@ def test_near_duplicates_against_brute_force(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_holds_only_tables_it_still_reads(docs):
+    found = near_duplicates(docs, percent=85)
+    root = Path(_made[-1].root.removeprefix("file:"))
+    assert {p.name for p in root.iterdir()} - {"members", "links1", "links2"} == {p.name for p in root.glob("second*")} | {p.name for p in root.glob("first*")}
+    assert found.count() == docs.count()
+
+
 def test_links_of_templates_in_small_parts(spark, monkeypatch):
     """Texts from one template, some linked and many just below: buckets in parts and hubs with a fan find every link."""
     rng = random.Random(17)
