@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -249,21 +249,22 @@ def tokens_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", F.posexplode(analysis.get("ngram").tokens(F.col("p_name"))).alias("position", "term"))
 
 
-def _posted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.postings(View.of_table(DOCS.load(spark, sf_dir), "doc_id", {"text": "text", "lang": "keyword"}))
+def _posted(spark: SparkSession, sf_dir: str) -> View:
+    view = View.of_table(DOCS.load(spark, sf_dir), "doc_id", {"text": "text", "lang": "keyword"})
+    return replace(view, postings=store.blocks(view))
 
 
 def postings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _posted(spark, sf_dir).filter(F.col("field").isin("text", "lang") & F.col("term").isin("the", "und", "de"))
+    found = _posted(spark, sf_dir).posted().filter(F.col("field").isin("text", "lang") & F.col("term").isin("the", "und", "de"))
     return found.select(F.col("_doc").alias("doc"), "field", "term", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.term_dictionary(_posted(spark, sf_dir), "text")
+    return store.term_dictionary(_posted(spark, sf_dir).postings, "text")
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.term_statistics(_posted(spark, sf_dir)).select("field", "term", "df")
+    return _posted(spark, sf_dir).term_stats.select("field", "term", "df")
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

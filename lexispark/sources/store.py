@@ -94,52 +94,78 @@ _BLOCK = "_shard int, term string, docs array<bigint>, tfs array<int>, lens arra
 BLOCKS = f"{_BLOCK}, field string"
 
 
-def _token_blocks(keyword: bool):
-    """Posting blocks of token arrays, one for each term of a batch of documents: all its tokens are sorted by term at once.
+#: Tokens that a Python worker turns into blocks at once. What a worker holds beyond the batch it was sent grows with these alone;
+#: a document with more of them is taken by itself.
+TOKENS_AT_ONCE = 1 << 19
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, from and to, with at most ``most`` tokens each, or one row with more."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop
+        start = stop
+
+
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    size = np.diff(lists.offsets.to_numpy())
+    size[lists.is_null().to_numpy(zero_copy_only=False)] = 0
+    return size
+
+
+def _blocks_of(batch: pa.RecordBatch, keyword: bool) -> pa.RecordBatch:
+    """Posting blocks of some documents, one for each term and shard: all their tokens are sorted by term at once."""
+    shard, doc, lists = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2))
+    size = _sizes(lists)
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    coded = flat.dictionary_encode()
+    code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, place, code = (x[code >= 0] for x in (row, place, code))
+    length = np.bincount(row, minlength=len(size))
+    shards, which = np.unique(shard, return_inverse=True)
+    # terms in the order of the dictionary sorted, then shards; the sort is stable, so documents and places stay in order
+    names = pa.compute.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(names), np.int64)
+    rank[names] = np.arange(len(names))
+    key = rank[code] * max(1, len(shards)) + which[row]
+    order = np.argsort(key, kind="stable")
+    key, row, place = key[order], row[order], place[order]
+    block = np.diff(key, prepend=-1) != 0
+    head = np.flatnonzero(block | (np.diff(row, prepend=-1) != 0))
+    ends = np.append(head, len(key))
+    first = np.flatnonzero(block[head])  # postings that open a block
+    limits = pa.array(np.append(first, len(head)), pa.int32())
+    if keyword:
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(head) + 1), pa.int32()), pa.array(np.zeros(len(head)), pa.int32()))
+        tf, lens = np.ones(len(head), np.int64), np.zeros(len(head), np.int64)
+    else:
+        inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+        tf, lens = np.diff(ends), length[row[head]]
+    term = coded.dictionary.take(pa.array(names[key[head[first]] // max(1, len(shards))]))
+    lists = [pa.ListArray.from_arrays(limits, v) for v in (pa.array(doc[row[head]], pa.int64()), pa.array(tf, pa.int32()), pa.array(lens, pa.int32()), inner)]
+    return pa.RecordBatch.from_arrays([pa.array(shards[key[head[first]] % max(1, len(shards))], pa.int32()), term, *lists], ["_shard", "term", "docs", "tfs", "lens", "positions"])
+
+
+def _token_blocks(keyword: bool, most: int = TOKENS_AT_ONCE):
+    """Posting blocks of token arrays, ``most`` tokens of a batch at a time.
 
     A keyword counts once a document, at position 0 and without a length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, doc, lists = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2))
-            size = np.diff(lists.offsets.to_numpy())
-            size[lists.is_null().to_numpy(zero_copy_only=False)] = 0
-            flat = lists.flatten()
-            row = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            coded = flat.dictionary_encode()
-            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, place, code = (x[code >= 0] for x in (row, place, code))
-            length = np.bincount(row, minlength=len(size))
-            shards, which = np.unique(shard, return_inverse=True)
-            # terms in the order of the dictionary sorted, then shards; the sort is stable, so documents and places stay in order
-            names = pa.compute.sort_indices(coded.dictionary).to_numpy()
-            rank = np.empty(len(names), np.int64)
-            rank[names] = np.arange(len(names))
-            key = rank[code] * max(1, len(shards)) + which[row]
-            order = np.argsort(key, kind="stable")
-            key, row, place = key[order], row[order], place[order]
-            block = np.diff(key, prepend=-1) != 0
-            head = np.flatnonzero(block | (np.diff(row, prepend=-1) != 0))
-            ends = np.append(head, len(key))
-            first = np.flatnonzero(block[head])  # postings that open a block
-            limits = pa.array(np.append(first, len(head)), pa.int32())
-            if keyword:
-                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(head) + 1), pa.int32()), pa.array(np.zeros(len(head)), pa.int32()))
-                tf, lens = np.ones(len(head), np.int64), np.zeros(len(head), np.int64)
-            else:
-                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
-                tf, lens = np.diff(ends), length[row[head]]
-            term = coded.dictionary.take(pa.array(names[key[head[first]] // max(1, len(shards))]))
-            lists = [pa.ListArray.from_arrays(limits, v) for v in (pa.array(doc[row[head]], pa.int64()), pa.array(tf, pa.int32()), pa.array(lens, pa.int32()), inner)]
-            yield pa.RecordBatch.from_arrays([pa.array(shards[key[head[first]] % max(1, len(shards))], pa.int32()), term, *lists], ["_shard", "term", "docs", "tfs", "lens", "positions"])
+            for start, stop in _slices(_sizes(batch.column(2)), most):
+                yield _blocks_of(batch.slice(start, stop - start), keyword)
 
     return run
 
 
 def blocks(view: View) -> DataFrame:
-    """Postings of every field with terms as blocks: a term, a shard, and arrays over the documents of one batch.
+    """Postings of every field with terms as blocks: a term, a shard, and arrays over the documents of a part of a batch.
 
     A document's tokens lie in one row, so grouping them needs no shuffle. Keywords have tf 1 and no length.
     """
@@ -173,11 +199,6 @@ def tokens_of(view: View, name: str) -> Column:
     return F.size(F.filter(view.tokens(name), lambda t: t.isNotNull())) if view.is_array(name) else F.size(view.tokens(name))
 
 
-def term_statistics(posted: DataFrame) -> DataFrame:
-    """(_shard, field, term, df)."""
-    return posted.groupBy("_shard", "field", "term").agg(F.count("*").alias("df"))
-
-
 def term_dictionary(posted: DataFrame, field: str) -> DataFrame:
     return posted.filter(F.col("field") == field).select("term").distinct().orderBy("term")
 
