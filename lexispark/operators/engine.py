@@ -86,9 +86,14 @@ class Engine:
         op = F.col("op") if "op" in rows.columns else F.lit("index")
         base = max(self._next.values(), default=0)
         numbered = rows.select("_id", "_source", op.alias("op"), (F.monotonically_increasing_id() + base).alias("_seq_no"))
-        good = documents.parse(numbered, self.mapping).filter((F.col("op") == "delete") | F.col("_error").isNull())
+        # parsing costs far more than reading: rows are spread first, however few files they come from, and written, as a filter would move below the shuffle
+        pending = f"pending-{uuid.uuid4().hex}"
+        numbered.repartition("_seq_no").write.parquet(f"{self.files.folder}/{pending}")
+        spread = self.spark.read.schema(numbered.schema).parquet(f"{self.files.folder}/{pending}")
+        good = documents.parse(spread, self.mapping).filter((F.col("op") == "delete") | F.col("_error").isNull())
         out = good.select(routing.shard(F.col("_id"), self.shards).alias("_shard"), "_id", "_seq_no", F.lit(PRIMARY_TERM).cast("long").alias("_primary_term"), "op", F.when(F.col("op") == "index", F.col("_source")).alias("_source"))
         path = self._write(out, name)
+        self.files.delete(pending)
         self._number(self.spark.read.schema(versions.LOG).parquet(path))
         self._recent = {}  # any of them may be older now
 
@@ -235,8 +240,9 @@ class Engine:
     def _parts(self) -> list[str]:
         return [n for n in Files(self.spark, f"{self.files.folder}/ops").names() if n.startswith("part=")] if self.files.exists("ops") else []
 
-    def compact(self, files: int = 1) -> None:
-        """Flush, and merge all segments into one of ``files`` files a table, without the dead. What no state names any more is deleted."""
+    def compact(self, files: int = 0) -> None:
+        """Flush, and merge all segments into one of ``files`` files a table (0: as many as its size asks for), without the dead. What no
+        state names any more is deleted."""
         self.flush()
         self.segments.merge(files=files)
         self.segments.clear()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +35,28 @@ def _coerced(kind: str, json_type: Column, text: Column) -> Column:
     return F.when(number, _number_as_long(text)).when((json_type == "STRING") & text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
 
 
-def _field_values(name: str, spec: Field) -> tuple[Column, Column]:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used: unlike a column, the variable of a lambda isn't
+    replaced by its expression when plans are rewritten, as by a filter that moves below a projection."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _field_values(variant: Column, name: str, spec: Field) -> Column:
     """The values of a field as an array, and whether one of them was refused."""
     path = _path(name)
-    value = F.try_variant_get("_variant", path, "variant")
-    shape = F.schema_of_variant(value)
-    is_array = shape.startswith("ARRAY")
+    shape = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
     literal = F.get_json_object("_source", path)
-    elements = F.from_json(literal, "array<string>")
-    shapes = F.transform(F.try_variant_get("_variant", path, "array<variant>"), lambda v: F.schema_of_variant(v))
-    many = F.transform(F.arrays_zip(shapes.alias("t"), elements.alias("v")), lambda z: _coerced(spec.type, z["t"], z["v"]))
-    one = F.array(_coerced(spec.type, shape, literal))
-    values = F.when(value.isNotNull(), F.when(is_array, many).otherwise(one))
-    return values, F.coalesce(F.exists(values, lambda v: v.isNull()), F.lit(False))
+
+    def many(literal: Column) -> Column:
+        shapes = F.transform(F.try_variant_get(variant, path, "array<variant>"), lambda v: F.schema_of_variant(v))
+        return F.transform(F.arrays_zip(shapes.alias("t"), F.from_json(literal, "array<string>").alias("v")), lambda z: _coerced(spec.type, z["t"], z["v"]))
+
+    def values(read: Column) -> Column:
+        one = F.array(_coerced(spec.type, read["shape"], read["literal"]))
+        return F.when(read["shape"].isNotNull(), F.when(read["shape"].startswith("ARRAY"), many(read["literal"])).otherwise(one))
+
+    found = _let(F.struct(shape.alias("shape"), literal.alias("literal")), values)
+    return _let(found, lambda v: F.struct(v.alias("values"), F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(False)).alias("refused")))
 
 
 def parse(rows: DataFrame, mapping: Mapping) -> DataFrame:
@@ -54,13 +65,18 @@ def parse(rows: DataFrame, mapping: Mapping) -> DataFrame:
     Unmapped fields are ignored, missing ones are null. A document with a value that its field doesn't take (null and objects
     among them), or that is no JSON object, has _error set and keeps null fields.
     """
-    out = rows.withColumn("_variant", F.try_parse_json("_source"))
-    is_object = F.coalesce(F.schema_of_variant("_variant").startswith("OBJECT"), F.lit(False))
-    parsed = {name: _field_values(name, spec) for name, spec in mapping.fields.items()}
-    error = F.when(~is_object, F.lit("source isn't a JSON object"))
-    for name, (_, refused) in parsed.items():
-        error = error.when(refused, F.lit(f"failed to parse field [{name}] of type [{mapping.fields[name].type}]"))
-    out = out.withColumn("_error", error if parsed else F.when(~is_object, F.lit("source isn't a JSON object")))
-    good = F.col("_error").isNull()
-    fields = {name: F.when(good, values).cast(f"array<{_TYPES[mapping.fields[name].type]}>") for name, (values, _) in parsed.items()}
-    return out.withColumns(fields).drop("_variant") if fields else out.drop("_variant")
+    fields = list(mapping.fields.items())
+
+    def read(variant: Column) -> Column:
+        is_object = F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
+        return F.struct(is_object.alias("is_object"), *[_field_values(variant, name, spec).alias(f"f{i}") for i, (name, spec) in enumerate(fields)])
+
+    def judged(found: Column) -> Column:
+        error = F.when(~found["is_object"], F.lit("source isn't a JSON object"))
+        for i, (name, spec) in enumerate(fields):
+            error = error.when(found[f"f{i}"]["refused"], F.lit(f"failed to parse field [{name}] of type [{spec.type}]"))
+        return _let(error, lambda e: F.struct(e.alias("error"), *[F.when(e.isNull(), found[f"f{i}"]["values"]).cast(f"array<{_TYPES[spec.type]}>").alias(f"f{i}") for i, (_, spec) in enumerate(fields)]))
+
+    out = rows.withColumn("_parsed", _let(_let(F.try_parse_json("_source"), read), judged))
+    columns = {"_error": F.col("_parsed")["error"]} | {name: F.col("_parsed")[f"f{i}"] for i, (name, _) in enumerate(fields)}
+    return out.withColumns(columns).drop("_parsed")

@@ -257,6 +257,6 @@ def load(spark: SparkSession, folder: str) -> View:
     )
 
 
-def compact(spark: SparkSession, folder: str, files: int = 1) -> int:
-    """Rewrite the current version into ``files`` files per table; the posting blocks are moved, no text is analyzed again."""
+def compact(spark: SparkSession, folder: str, files: int = 0) -> int:
+    """Rewrite the current version into ``files`` files per table (0: as many as its size asks for); the posting blocks are moved, no text is analyzed again."""
     return save(load(spark, folder), folder, files)

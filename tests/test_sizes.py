@@ -2,8 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lexispark.sources import store
+from lexispark.mapping import Mapping
+from lexispark.operators.engine import Engine
+from lexispark.sources import documents, store
 
 
 def test_blocks_take_a_bounded_number_of_tokens_at_once():
@@ -32,3 +35,25 @@ def test_blocks_don_t_depend_on_where_a_batch_is_cut():
             return sorted((r["_shard"], r["term"], *x) for r in blocks for x in zip(r["docs"], r["tfs"], r["lens"], map(tuple, r["positions"])))
 
         assert postings(1) == postings(2) == postings(3) == postings(1 << 19) != []
+
+
+def test_a_value_of_a_document_is_computed_once(spark):
+    mapping = Mapping.of({"a": "text", "b": "keyword", "c": "long", "d": "double"})
+    rows = spark.createDataFrame([("1", '{"a":"x","c":1}'), ("2", '{"c":"z"}')], "_id string, _source string")
+    kept = documents.parse(rows, mapping).filter("_error is null").select("_id")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["_id"] for r in kept.collect()] == ["1"]
+    assert plan.count("get_json_object(") == len(mapping.fields), plan
+
+
+def test_writes_and_merges_are_many_tasks(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/index", Mapping.of({"k": "keyword"}))
+    value = F.concat(*[F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(4)])
+    rows = spark.range(12_000).coalesce(1).select(F.col("id").cast("string").alias("_id"), F.to_json(F.struct(value.alias("k"))).alias("_source"))
+    engine.append(rows)
+    log = engine.log()
+    assert len(log.inputFiles()) > 1
+    assert [int(r["_id"]) for r in log.orderBy("_seq_no").select("_id").collect()] == list(range(12_000))
+    engine.compact()
+    assert len(engine.segments.view(None).docs.inputFiles()) > 1 and engine.counts() == (12_000, 0)
+    assert not [n for n in engine.files.names() if n.startswith("pending-")]
